@@ -17,6 +17,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal text the one with the smallest doc_id."""
+    from veilspark.llm.exact import deduplicated
+
+    return deduplicated(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words to a shingle, similarity 0.8 or more."""
+    from veilspark.llm.jaccard import representatives
+
+    return representatives(docs, width=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    from veilspark.llm.mixture import repeated
+
+    return repeated(docs)
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded documents: doc_id, ids, and the text decoded from them."""
     from veilspark.llm.bpe import encoded
@@ -24,7 +45,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded(docs, vocabulary_path())
 
 
-STAGES = [("quality classifier", quality), ("BPE encoding", bpe)]
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("source mixture", mix), ("BPE encoding", bpe)]
 
 #: The first and the last stage are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -45,6 +45,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.jaccard import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.exact import groups
 
@@ -72,8 +78,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_language_id, op4_exact_dedup, op5_token_counts, op6_source_mixture, op7_url_filter, op8_bpe_codec, op9_toxicity,
-        op10_embedding_near_dedup,
+        op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_exact_dedup, op5_token_counts, op6_source_mixture, op7_url_filter, op8_bpe_codec,
+        op9_toxicity, op10_embedding_near_dedup,
     )
 }
 
