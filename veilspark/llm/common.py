@@ -30,11 +30,11 @@ def pieces(texts: list, limit: int = PIECE_CHARS) -> Iterator[list]:
         yield run
 
 
-def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.StructType) -> Callable[[Column], Column]:
+def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.StructType, piece: int = PIECE_CHARS) -> Callable[[Column], Column]:
     """A column function from text to a struct.
 
     make() runs once in each task and gives a function from a list of texts (null: None) to rows of fields. Texts arrive
-    in Arrow batches; the function sees them in pieces of bounded size.
+    in Arrow batches; the function sees them in pieces of about `piece` characters.
     """
     arrow = pa.schema([pa.field(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}[f.dataType.simpleString()]) for f in fields])
 
@@ -42,10 +42,12 @@ def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.Struct
         work = make()
         for batch in batches:
             rows = []
-            for run_ in pieces(batch.to_pylist()):
+            for run_ in pieces(batch.to_pylist(), piece):
                 rows.extend(work(run_))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], fields=list(arrow))
+            del rows, cols, batch
+            pa.default_memory_pool().release_unused()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, fields)

@@ -14,6 +14,7 @@ or have no letter give `und` with score 0. Without training rows everything is `
 
 import re
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -258,13 +259,11 @@ def fit(texts: list[str], langs: list[str], rounds: int = 16, l2: float = 2e-4,
 
 def train(docs: DataFrame, limit: int = 1_500, chars: int = 20_000) -> Field:
     """A field from at most limit whole texts of at most chars characters each."""
-    rows = (
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= chars))
-        .orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "lang", F.xxhash64("text"))
-        .limit(limit)
-        .collect()
-    )
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
+    own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= chars))
+    ids = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(limit)
+    rows = own.join(F.broadcast(ids.distinct()), "doc_id").limit(4 * limit).collect()
+    rows.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -274,6 +273,6 @@ FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 def languages(docs: DataFrame, limit: int = 1_500) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs(doc_id, text, lang)."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, limit))
-    label = per_text(lambda: held.value, FIELDS)
+    label = per_text(lambda: held.value, FIELDS, 1_500_000)
     out = doc_texts(docs).select("doc_id", label("text").alias("c"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "c.lang_pred", "c.score")
