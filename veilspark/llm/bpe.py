@@ -13,6 +13,7 @@ library's default. decoded text of a whole text equals that text. Repeated rows
 import heapq
 import re
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,7 +24,7 @@ from veilspark.llm.bytebpe import LATER_SET, PATTERN, PATTERN_LATER, Vocabulary,
 from veilspark.llm.common import doc_texts, per_text
 
 #: Encoded pre-tokens that a worker remembers.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 def encode_partition(words: list[bytes], v: Vocabulary) -> list[list[int]]:
@@ -83,20 +84,28 @@ class Codec:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")") if vocabulary.specials else None
         self.memo: dict[str, bytes] = {}
 
+    def common(self, text: str) -> bool:
+        """Whether a text has no letter that the library's tables lack; Latin-1 has none."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.later(text)
+        return True
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = []
         for t in texts:
             words: list = []
-            for i, part in enumerate(self.special.split(t or "") if self.special else [t or ""]):
+            for i, part in enumerate(self.special.split(t) if t and any(map(t.__contains__, self.v.specials)) else [t or ""]):
                 if i % 2:
                     words.append(self.v.specials[part])
                 else:
-                    words.extend(self.find(part) if part.isascii() or not self.later(part) else self.find_later(part))
+                    words.extend(self.find(part) if self.common(part) else self.find_later(part))
             split.append(words)
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list({w for words in split for w in words if w not in self.memo})
+        new = list(set(chain.from_iterable(split)).difference(self.memo))
         for w, ids in zip(new, encode_partition([w.encode() if isinstance(w, str) else b"" for w in new], self.v), strict=True):
             self.memo[w] = np.array([w] if isinstance(w, int) else ids, "<u4").tobytes()
         return [b"".join(map(self.memo.__getitem__, words)) for words in split]
