@@ -32,8 +32,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHER, SPACE_1, SPACE_N, WHITE_1, WHITE_N, APO
 #: Outputs: a pre-token begins at this code point, at the one before.
 HERE, BEFORE = 1, 2
 CHUNK = 256
-#: A worker's memory of counted pre-tokens and the transducer are dropped when they hold so many entries.
-MEMO = 600_000
+#: A worker forgets counted pre-tokens beyond so many, and compiled states beyond so many.
+MEMO, STATES = 1_000_000, 400_000
 
 
 def classes() -> np.ndarray:
@@ -173,10 +173,10 @@ class Counter:
         self.v = vocabulary
         self.prefixes = {t[:i] for t in vocabulary.ids for i in range(1, len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.memo: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
         self.known: dict[tuple, int] = {}
         self.of: list[tuple] = []
         self.moves: list[dict[int, tuple[int, int]]] = []
@@ -225,7 +225,9 @@ class Counter:
 
     def __call__(self, pretoken: str) -> int:
         if (n := self.memo.get(pretoken)) is None:
-            if len(self.memo) + len(self.of) > MEMO:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            if len(self.of) >= STATES:
                 self.reset()
             s, n, moves = 0, 0, self.moves
             for byte in pretoken.encode():
@@ -262,7 +264,6 @@ class TokenCounts:
             got = list(map(get, tokens))
             if None in got:
                 got = [count(t) if n is None else n for t, n in zip(tokens, got, strict=True)]
-                get = self.counter.memo.get
             counts[k] += sum(got)
         return [(len((t or "").encode()), n) for t, n in zip(texts, counts, strict=True)]
 
