@@ -211,8 +211,10 @@ entities AS (SELECT a.* FROM found a WHERE NOT EXISTS (SELECT 1 FROM found b WHE
 norms AS (SELECT *, lower(trim(regexp_replace(original_text, '\\s+', ' ', 'g'))) AS norm_value FROM entities)"""
 
 
-def doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(with_entities(doc_blocks(spark, sf_dir)))
+def doc_entities(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """Entities of documents; again: they are read more than once, so they are kept (in memory or on disk) when first found."""
+    found = exploded(with_entities(doc_blocks(spark, sf_dir)))
+    return found.persist() if again else found
 
 
 @query(f"WITH {ENSEMBLE_SQL} SELECT doc_id, block_index, entity_type, original_text, start, \"end\", 1.0::DOUBLE AS confidence, 'regex' AS source FROM entities")
@@ -391,12 +393,12 @@ def synthetic_mapping(spark, sf_dir):
 
 
 def doc_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.build(doc_entities(spark, sf_dir))
+    return mapping.build(doc_entities(spark, sf_dir, True))
 
 
 @query(f"WITH {ENSEMBLE_SQL} SELECT entity_type, norm_value, 1 AS replacements, true AS fresh FROM norms GROUP BY 1, 2")
 def mapping_consistency(spark, sf_dir):
-    found = doc_entities(spark, sf_dir)
+    found = doc_entities(spark, sf_dir, True)
     replaced = mapping.with_replacements(found, mapping.build(found))
     originals = found.select(X.normalize(F.col("original_text")).alias("own")).distinct()
     seen = replaced.groupBy("entity_type", "norm_value").agg(F.count_distinct("replacement").alias("replacements"), F.max("replacement").alias("r"))
@@ -415,7 +417,7 @@ def mapping_search(spark, sf_dir):
 
 @query(f"WITH {ENSEMBLE_SQL}, raw AS (SELECT original_text AS raw_text, max_by(entity_type, (doc_id, block_index, start)) AS category FROM entities GROUP BY 1) SELECT * FROM raw UNION ALL SELECT 'nowhere', 'PII'")
 def mapping_category(spark, sf_dir):
-    found = doc_entities(spark, sf_dir)
+    found = doc_entities(spark, sf_dir, True)
     raw = found.select(F.col("original_text").alias("raw_text")).distinct().unionByName(spark.createDataFrame([("nowhere",)], "raw_text string"))
     return mapping.category_of(raw, found)
 
@@ -436,7 +438,7 @@ def redact_mask(spark, sf_dir):
 @query(f"WITH {ENSEMBLE_SQL} SELECT doc_id, count(*) AS changed FROM (SELECT DISTINCT doc_id, block_index FROM entities) GROUP BY 1")
 def redact_synthetic(spark, sf_dir):
     tagged = with_entities(doc_blocks(spark, sf_dir))
-    new = redact.redacted(tagged, mapping.build(exploded(tagged))).select("doc_id", "block_index", F.col("text").alias("new"))
+    new = redact.redacted(tagged, doc_mapping(spark, sf_dir)).select("doc_id", "block_index", F.col("text").alias("new"))
     old = tagged.select("doc_id", "block_index", "text")
     return old.join(new, ["doc_id", "block_index"]).filter("text <> new").groupBy("doc_id").agg(F.count("*").alias("changed"))
 
@@ -507,7 +509,7 @@ TRUTH_SQL = f"""{ENSEMBLE_SQL}, preds AS (SELECT DISTINCT entity_type, norm_valu
 
 
 def predictions_and_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = doc_entities(spark, sf_dir)
+    found = doc_entities(spark, sf_dir, True)
     value = X.normalize(F.col("original_text"))
     truth = found.select("entity_type", value.alias("value")).filter(F.length("value") % 2 == 0).distinct()
     return found, truth.unionByName(spark.createDataFrame([("EMAIL_ADDRESS", "nobody@nowhere.example"), ("PERSON", "asha example")], "entity_type string, value string"))
