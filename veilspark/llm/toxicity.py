@@ -98,6 +98,17 @@ def linear(rows: list[list[int]], soft: np.ndarray, size: int, l2: float = 0.002
     return w
 
 
+def cut(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The score between the classes: the middle of the gap that leaves fewest texts on the wrong side."""
+    order = np.argsort(z, kind="stable")
+    z, t = z[order], toxic[order]
+    wrong = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((~t)[::-1])[::-1], [0]])
+    gap = np.concatenate([[0.0], np.diff(z), [0.0]])
+    wrong = np.where(gap > 0, wrong, len(z) + 1)  # texts with equal scores stay together
+    k = int(wrong.argmin())
+    return float((z[k - 1] + z[k]) / 2) if 0 < k < len(z) and wrong[k] <= len(z) else 0.0
+
+
 class Toxicity:
     """Scores of texts from lexeme weights."""
 
@@ -159,6 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000, limit_feature
     prior = float(np.clip(share or 0.05, 0.01, 0.5))
     model = LabelModel([{int(family[i]) for i in r[2]} for r in rows], np.array([r[1] for r in rows]), int(family.max(initial=-1)) + 1, prior)
     w = linear([r[2] for r in rows], model.posterior, len(names)) if rows else np.append(np.full(len(names), 6.0), -4.0)
+    if rows:
+        z = np.array([w[-1] + sum(w[i] for i in r[2]) for r in rows])
+        w[-1] -= cut(z, model.posterior > 0.5)
     return Toxicity({f: float(x) for f, x in zip(names, w, strict=False)}, float(w[-1]))
 
 
