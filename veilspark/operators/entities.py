@@ -1,17 +1,26 @@
 """From blocks to entities."""
 
 from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.detect import Detector, ensemble
 from veilspark.operators.resolve import finished
 
 
+@lru_cache(maxsize=2)
+def standard(gateway: int) -> Column:
+    """The expression over `text` without plug-ins; it is large, so it is built once for each JVM."""
+    return finished(ensemble(F.col("text")))
+
+
 def with_entities(blocks: DataFrame, before: Sequence[Detector] = (), between: Sequence[Detector] = ()) -> DataFrame:
     """blocks with `entities`: array of resolved, valid entities of supported types. A projection: no shuffle."""
-    return blocks.withColumn("entities", finished(ensemble(F.col("text"), before, between)))
+    own = finished(ensemble(F.col("text"), before, between)) if before or between else standard(id(SparkContext._gateway))
+    return blocks.withColumn("entities", own)
 
 
 def exploded(tagged: DataFrame) -> DataFrame:
