@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import free_name
 from veilspark.llm.scratch import dropped, kept
 
 BLOCK, SPANS = 4096, 1024
@@ -126,12 +127,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and its text are alike for this purpose only if all columns are: the id decides, and of rows with
     that id and text one is taken.
     """
-    stay = groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(normalised(docs["text"]), 256)
-    tagged = docs.withColumn("_sha", sha)
-    out = tagged.join(stay, tagged["doc_id"].cast("long").eqNullSafe(stay["_keep_id"]) & (tagged["_sha"] == stay["_keep_sha"])).drop("_keep_id", "_keep_sha")
-    repeated = kept(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_many")), "repeated")
+    keep_id, keep_sha, sha, many = (free_name(docs, c) for c in ("keep_id", "keep_sha", "text_sha", "many"))
+    stay = groups(docs).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    tagged = docs.withColumn(sha, F.sha2(normalised(docs["text"]), 256))
+    out = tagged.join(stay, tagged["doc_id"].cast("long").eqNullSafe(stay[keep_id]) & (tagged[sha] == stay[keep_sha])).drop(keep_id, keep_sha)
+    repeated = kept(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(many)), "repeated")
     if not repeated.isEmpty():  # ids in several rows: one row for each id and text
-        hot = out.join(repeated, out["doc_id"].eqNullSafe(repeated["_many"])).drop("_many").dropDuplicates(["doc_id", "_sha"])
-        out = out.join(repeated, out["doc_id"].eqNullSafe(repeated["_many"]), "left_anti").unionByName(hot)
-    return out.drop("_sha")
+        hot = out.join(repeated, out["doc_id"].eqNullSafe(repeated[many])).drop(many).dropDuplicates(["doc_id", sha])
+        out = out.join(repeated, out["doc_id"].eqNullSafe(repeated[many]), "left_anti").unionByName(hot)
+    return out.drop(sha)

@@ -20,6 +20,7 @@ source of size 0 has target 0. Repeated rows are separate documents. A table wit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import free_name
 from veilspark.llm.scratch import kept
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -118,8 +119,9 @@ def repeated(docs: DataFrame, **settings) -> DataFrame:
 
     Rows that repeat an id in a source share the mean of their copies, rounded.
     """
-    copies = mixed(docs, **settings).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    copies = kept(copies.filter("_copies > 0"), "copies")
-    same = docs["doc_id"].cast("long").eqNullSafe(copies["_doc"]) & docs["source"].cast("string").eqNullSafe(copies["_source"]) & (size_of(docs["text"]) == copies["_size"])
-    out = docs.join(copies, same).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[out[c] for c in docs.columns])
+    names = {c: free_name(docs, c) for c in ("mix_doc", "mix_source", "mix_size", "mix_copies", "mix_nth")}
+    doc, source, size, count, nth = names.values()
+    found = mixed(docs, **settings).groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size))
+    found = kept(found.agg(F.round(F.avg("copies")).cast("int").alias(count)).filter(F.col(count) > 0), "copies")
+    same = docs["doc_id"].cast("long").eqNullSafe(found[doc]) & docs["source"].cast("string").eqNullSafe(found[source]) & (size_of(docs["text"]) == found[size])
+    return docs.join(found, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(*names.values())
