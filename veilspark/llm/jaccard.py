@@ -3,15 +3,16 @@
 A document's set holds its distinct shingles of `width` words. Two documents link when 100 * |intersection| >=
 percent * |union|.
 
-Global order: shingles are ordered by how many documents hold them, rarest first, then by hash. Counts come from all
+Global order: shingles are ordered by how often they occur, rarest first, then by hash. Counts come from all
 documents, in a sketch of fixed size (2 ** SKETCH_BITS counters, so its broadcast has a proven bound); a collision there
 moves a shingle in the order, which costs time but never a link, as any global order is right. A shingle's id carries its
 place in the order: 8 bits of frequency level above 56 bits of hash.
 
 Candidates: linked sets share a shingle among their first n - ceil(percent n / 100) + 1, and sizes and positions bound
 their overlap. Equal sets are one set. For each shared shingle, every set is first compared with one hub, chosen by a hash,
-so a group of k similar sets gives about k pairs for a shingle, not k * k. Only pairs that are then still in different
-components are compared with one another; those within a component can add no component.
+and with its NEIGHBOURS next sets in the order of that hash, so a group of k similar sets gives a multiple of k pairs for a
+shingle, not k * k. Then all pairs that are still in different components are compared; those within a component can
+add no component.
 
 Vertical partitioning: the global order is cut into FRAGMENTS ranges of equal mass; each set is cut into the same
 fragments; each candidate pair's overlap is counted in each fragment on its own and summed per pair.
@@ -35,9 +36,11 @@ from veilspark.llm.common import doc_texts, per_text
 from veilspark.llm.components import components
 from veilspark.llm.scratch import dropped, kept
 
-SKETCH_BITS, FRAGMENTS, CHUNKS = 22, 4, 16
+SKETCH_BITS, FRAGMENTS, CHUNKS = 22, 2, 16
+#: Steps in a shingle's list within which sets are compared first; rows of four longs that may be broadcast.
+NEIGHBOURS, BROADCAST_ROWS = 12, 100_000
 #: Words whose hashes a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -58,6 +61,11 @@ class Shingler:
         self.width, self.hashes = width, Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
+        """The distinct hashes, sorted."""
+        return np.unique(self.all(text))
+
+    def all(self, text: str | None) -> np.ndarray:
+        """The hash of each shingle, in the order of the text."""
         # bytes.lower() and bytes.split() know ASCII letters and ASCII white space only, as asked for.
         words = text.encode().lower().split() if text else []
         if not words:
@@ -70,7 +78,7 @@ class Shingler:
             out = (out * MIX[0]) + h[i : i + n]
         for m, s in ((MIX[1], 30), (MIX[2], 27)):
             out = (out ^ (out >> np.uint64(s))) * m
-        return np.unique(out ^ (out >> np.uint64(31)))
+        return out ^ (out >> np.uint64(31))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -85,8 +93,8 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))).astype(np.int64)
 
 
-def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Frequency level of each counter: four times the binary logarithm of the number of documents, at most 127."""
+def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency level of each counter: four times the binary logarithm of its number of shingles, at most 127; and the counters."""
     step = (1 << SKETCH_BITS) // CHUNKS
     schema = "chunk int, counts binary"
 
@@ -95,9 +103,9 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         held = []
         for pdf in batches:
             for text in pdf["text"]:
-                if len(s := sh(text)):
+                if len(s := sh.all(text)):
                     held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                if sum(map(len, held[-1:])) and len(held) >= 2000:
+                if len(held) >= 1000:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
                     held = []
         if held:
@@ -112,8 +120,8 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
                 sums.setdefault(int(c), np.zeros(step, np.int64)).__iadd__(np.frombuffer(zlib.decompress(raw), "<i8"))
         yield pd.DataFrame({"chunk": list(sums), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]})
 
-    parts = docs.select("text").mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 32)
-    once = parts.repartition(CHUNKS * 32, "chunk", "part").select("chunk", "counts").mapInPandas(merge, schema)
+    parts = docs.select("text").mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 8)
+    once = parts.repartition(CHUNKS * 8, "chunk", "part").select("chunk", "counts").mapInPandas(merge, schema)
     rows = once.repartition(CHUNKS, "chunk").mapInPandas(merge, schema).collect()  # CHUNKS rows, 2 ** SKETCH_BITS counters in all
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
@@ -152,6 +160,8 @@ class Join:
         self.docs, self.width, self.percent = doc_texts(docs), width, percent
         levels, total = sketch(self.docs, width)
         self.cuts = cuts(levels, total, FRAGMENTS)
+        self.ready: DataFrame | None = None
+        self.parts: DataFrame | None = None
         self.levels = docs.sparkSession.sparkContext.broadcast(levels)
         held, percent_ = self.levels, percent
         fields = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
@@ -170,27 +180,32 @@ class Join:
 
             return work
 
-        found = self.docs.select("doc_id", per_text(make, fields)("text").alias("c")).select("doc_id", "c.*")
-        found = kept(found, "shingles")
+        found = self.docs.select("doc_id", per_text(make, fields, 2_000_000)("text").alias("c")).select("doc_id", "c.*")
+        found = kept(found, "shingles", 2000)
         self.rows = found.select("doc_id", "n", "d1", "d2")
         sets = found.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         self.sets = kept(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
     def shared(self) -> DataFrame:
         """Prefix shingles that more than one set has: token, rid, n, pos, and the token's hub h, hn, hpos."""
-        rows = self.sets.select("rid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+        rows = self.sets.select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
+        # Size and position travel through the shuffle as one number.
+        rows = rows.select("token", "rid", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
         w = by_hash()
-        hub = F.first(F.struct(F.col("rid").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        hub = F.first(F.struct(F.col("rid").alias("h"), F.col("at").alias("hat"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
         seen = rows.select("*", hub.alias("hub"), F.lag("rid").over(w).alias("before"), F.lead("rid").over(w).alias("after"))
-        return seen.filter("before is not null or after is not null").select("token", "rid", "n", "pos", "hub.*")
+        seen = seen.filter("before is not null or after is not null")
+        size, place = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+        at, hat = F.col("at"), F.col("hub.hat")
+        return seen.select("token", "rid", size(at).alias("n"), place(at).alias("pos"), F.col("hub.h").alias("h"), size(hat).alias("hn"), place(hat).alias("hpos"))
 
     def neighbours(self, own: DataFrame, steps: range) -> DataFrame:
-        """Pairs of sets in different components of own(token, rid, n, pos, c) that stand so many steps apart in a token's list."""
-        row = F.struct(F.col("rid").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("c").alias("hc"))
+        """Rows (rid, n, h, hn): sets that stand so many steps apart in a token's list of own(token, rid, n, pos) and may link."""
+        row = F.struct(F.col("rid").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
         others = F.array_compact(F.array(*[F.lead(row, k).over(by_hash()) for k in steps]))
-        fine = F.filter("others", lambda o: (o["hc"] != F.col("c")) & self.possible(F.col("n"), F.col("pos"), o["hn"], o["hpos"]))
+        fine = F.filter("others", lambda o: self.possible(F.col("n"), F.col("pos"), o["hn"], o["hpos"]))
         found = own.withColumn("others", others).withColumn("others", fine).filter(F.size("others") > 0)
-        return self.pairs(found.select("rid", "n", F.explode("others").alias("o")).select("rid", "n", "o.h", "o.hn"))
+        return found.select("rid", "n", F.explode("others").alias("o")).select("rid", "n", "o.h", "o.hn")
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Distinct (a, b, na, nb) with a < b from rows(rid, n, h, hn)."""
@@ -204,10 +219,15 @@ class Join:
         sizes = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
         return sizes & linked(n, m, room, self.percent)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b, na, nb) that link, by overlaps counted in fragments and summed."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(self.sets.select("rid", "least", "d1", "d2"), "rid")
-        nodes = kept(nodes, "nodes")
+    def fragments(self, nodes: DataFrame) -> None:
+        """Adds the fragments of those sets in nodes(rid) that have none yet: one text of each is read again and cut."""
+        new = nodes if self.ready is None else nodes.join(self.ready, "rid", "left_anti")
+        new = kept(new.join(self.sets.select("rid", "least", "d1", "d2"), "rid"), "nodes")
+        count = new.count()
+        if not count:
+            if self.parts is None:
+                self.parts = nodes.sparkSession.createDataFrame([], "rid long, fragment int, ids array<long>")
+            return
         held, width, at = self.levels, self.width, self.cuts
 
         def make():
@@ -225,41 +245,46 @@ class Join:
 
         names = [f"f{i}" for i in range(FRAGMENTS)]
         fields = T.StructType([T.StructField(c, T.LongType()) for c in ("e1", "e2")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names])
-        texts = self.docs.join(nodes, self.docs["doc_id"].eqNullSafe(nodes["least"])).select("rid", "d1", "d2", "text")
-        cut = texts.select("rid", "d1", "d2", per_text(make, fields)("text").alias("c")).filter("c.e1 = d1 and c.e2 = d2")
-        # A set's fragments, once for each set whatever number of its rows repeat.
-        parts = cut.select("rid", F.posexplode(F.array(*[F.col(f"c.{c}") for c in names])).alias("fragment", "ids")).filter(F.size("ids") > 0)
-        parts = kept(parts, "fragments")
+        # Up to a checked number of rows of four longs the sets are sent to the texts; beyond it both are shuffled.
+        side = F.broadcast(new) if count <= BROADCAST_ROWS else new
+        texts = self.docs.join(side, self.docs["doc_id"].eqNullSafe(new["least"])).select("rid", "d1", "d2", "text")
+        # Written before rows of another set are left out: else that filter would take the function below the join, to all texts.
+        cut = texts.select("rid", "d1", "d2", per_text(make, fields, 2_000_000)("text").alias("c"))
+        same = (F.col("c.e1") == F.col("d1")) & (F.col("c.e2") == F.col("d2"))
+        written = kept(cut.select("rid", same.alias("same"), F.posexplode(F.array(*[F.col(f"c.{c}") for c in names])).alias("fragment", "ids")), "fragments", 1000)
+        parts = written.filter("same").filter(F.size("ids") > 0)
+        self.parts = parts if self.parts is None else self.parts.unionByName(parts)
+        self.ready = new.select("rid") if self.ready is None else self.ready.unionByName(new.select("rid"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b, na, nb) that link, by overlaps counted in fragments and summed."""
+        self.fragments(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+        parts = self.parts
         a = parts.select(F.col("rid").alias("a"), "fragment", F.col("ids").alias("x"))
         b = parts.select(F.col("rid").alias("b"), "fragment", F.col("ids").alias("y"))
-        counted = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).alias("o"))
+        some = pairs
+        if pairs.count() <= BROADCAST_ROWS:  # few pairs go to the fragments, and only the fragments that they name move
+            some = F.broadcast(pairs)
+            b = b.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        counted = a.join(some, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).alias("o"))
         counted = counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("o").alias("o"))  # an id may stand in several rows
         total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).filter(linked(F.col("na"), F.col("nb"), F.col("o"), self.percent))
-        out = kept(total.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        dropped(parts)
-        dropped(nodes)
-        return out
+        return kept(total.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
     def components(self) -> DataFrame:
         """(node, component) for sets with a link."""
         shared = kept(self.shared(), "shared")
-        near = shared.filter((F.col("rid") != F.col("h")) & self.possible(*map(F.col, ("n", "pos", "hn", "hpos"))))
-        tried = kept(self.pairs(near.select("rid", "n", "h", "hn")), "pairs")
+        hubs = shared.filter((F.col("rid") != F.col("h")) & self.possible(*map(F.col, ("n", "pos", "hn", "hpos"))))
+        rows = hubs.select("rid", "n", "h", "hn").unionByName(self.neighbours(shared.select("token", "rid", "n", "pos"), range(1, NEIGHBOURS + 1)))
+        tried = kept(self.pairs(rows), "pairs")
         groups = kept(components(self.links(tried)), "components")
         own = kept(self.open(shared.select("token", "rid", "n", "pos"), groups), "open")
         dropped(shared)
-        # Two rounds among neighbours in a token's list, then whatever pairs of sets in different components are left.
-        for steps in (range(1, 5), range(5, 21), None):
-            near = self.neighbours(own, steps) if steps else self.all_pairs(own)
-            near = kept(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            if near.isEmpty():
-                continue
-            stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            groups = kept(components(stars.unionByName(self.links(near))), "components")
-            if steps:
-                tried = tried.unionByName(near)
-                own = kept(self.open(own, groups), "open")
-        return groups
+        near = kept(self.all_pairs(own).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if near.isEmpty():
+            return groups
+        stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return components(stars.unionByName(self.links(near)))
 
     def open(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         """rows(token, rid, n, pos) with component c, of tokens whose sets are in more than one component."""

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,11 +22,20 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df as written to the shared folder and read from it."""
+def kept(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """df as written to the shared folder and read from it.
+
+    batch: rows in an Arrow batch while it is written, for functions whose results are much larger than their rows.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._veilspark_path = path
     return out
