@@ -16,12 +16,13 @@ from hashlib import sha256
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilspark.llm.bytebpe import LATER_SET, PATTERN, PATTERN_LATER, Vocabulary, load
-from veilspark.llm.common import doc_texts, per_text
+from veilspark.llm.common import doc_texts, per_text, pieces
 
 #: Encoded pre-tokens that a worker remembers.
 MEMO = 1_000_000
@@ -77,8 +78,8 @@ def encode_partition(words: list[bytes], v: Vocabulary) -> list[list[int]]:
 class Codec:
     """Encodes and decodes texts."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remember: int | None = None):
+        self.v, self.remember = vocabulary, remember or MEMO
         self.find, self.find_later = regex.compile(PATTERN).findall, regex.compile(PATTERN_LATER).findall
         self.later = regex.compile(LATER_SET).search
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True))) + ")") if vocabulary.specials else None
@@ -103,7 +104,7 @@ class Codec:
                 else:
                     words.extend(self.find(part) if self.common(part) else self.find_later(part))
             split.append(words)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.remember:
             self.memo.clear()
         new = list(set(chain.from_iterable(split)).difference(self.memo))
         for w, ids in zip(new, encode_partition([w.encode() if isinstance(w, str) else b"" for w in new], self.v), strict=True):
@@ -116,18 +117,29 @@ class Codec:
 
 
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
 def encoded(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded: the real outputs of the codec for docs(doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(load(vocabulary_path))
+    """doc_id, ids array<int>, decoded: the real outputs of the codec for docs(doc_id, text).
 
-    def make():
-        codec = Codec(held.value)
-        return lambda texts: [(np.frombuffer(e, "<u4").astype(np.int32).tolist(), codec.decode(e)) for e in codec.encode(texts)]
+    Results are several times as large as their texts, so they leave the worker in batches of about two million characters.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(load(vocabulary_path))
 
-    return doc_texts(docs).select("doc_id", per_text(make, IDS)("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
+    def run(batches):
+        codec = Codec(held.value, 250_000)
+        for batch in batches:
+            at = 0
+            for texts in pieces(batch.column(1).to_pylist(), 2_000_000):
+                ids = codec.encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array([np.frombuffer(e, "<i4") for e in ids], pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string())],
+                    names=["doc_id", "ids", "decoded"],
+                )
+                at += len(texts)
+            pa.default_memory_pool().release_unused()
+
+    return doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
