@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veilspark.operators import audit, evaluate, mapping, redact
 from veilspark.operators.blocks import from_documents, full_text
 from veilspark.operators.entities import detect, exploded, with_entities
+from veilspark.plans import catalog
 
 DOCS = [
     (1, "Mail a@x.org and A@X.org now.\n\nServer 10.1.2.3\nCards 4111 1111 1111 1111, 5500 0055 5555 5559"),
@@ -122,3 +123,13 @@ def test_exports(spark):
     raw = mapping.raw_export(mapping.with_replacements(found, m))
     assert raw.count() == found.select("original_text").distinct().count()
     assert mapping.search(m, None, "A@X").count() == 1 and mapping.search(m, "SSN", "a").count() == 0
+
+
+def test_leak_queries_cover_phones(spark, tmp_path):
+    # Numbers that the detector does not take: with another separator, over two lines, glued to a digit.
+    rests = ["key 91_98765_43210", "9198765\n\n43210", "ref 0919876543210177777", "none"]
+    rows = [(i, "Call +91 98765 43210 now.\n\n" + t) for i, t in enumerate(rests)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, r.block_index, r.entity_type, r.original_text) for r in catalog.QUERIES["leak_check"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(i, 0, "PHONE_NUMBER", "+91 98765 43210") for i in range(3)]
+    assert catalog.QUERIES["key_figures"](spark, str(tmp_path)).first().leaked == 3

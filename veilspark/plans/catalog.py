@@ -447,7 +447,7 @@ def redact_synthetic(spark, sf_dir):
        "SELECT n.doc_id, n.block_index, n.entity_type, n.original_text FROM norms n JOIN whole w USING (doc_id) WHERE n.entity_type <> 'PHONE_NUMBER' AND contains(w.t, n.norm_value)")
 def leak_check(spark, sf_dir):
     tagged = with_entities(doc_blocks(spark, sf_dir))
-    return redact.leaked(exploded(tagged).filter("entity_type <> 'PHONE_NUMBER'"), redact.masked(tagged)).select("doc_id", "block_index", "entity_type", "original_text")
+    return redact.leaked(exploded(tagged), redact.masked(tagged)).select("doc_id", "block_index", "entity_type", "original_text")
 
 
 ORIGINAL_LEAKS_SQL = f"WITH {ENSEMBLE_SQL}, leaks AS (SELECT * FROM norms)"  # nothing is redacted: every value is still there
@@ -537,7 +537,7 @@ def set_ops_truth(spark, sf_dir):
 def key_figures(spark, sf_dir):
     tagged = with_entities(doc_blocks(spark, sf_dir))
     found = exploded(tagged)
-    left = redact.leaked(found.filter("entity_type <> 'PHONE_NUMBER'"), redact.masked(tagged)).agg(F.count("*").alias("leaked"))
+    left = redact.leaked(found, redact.masked(tagged)).agg(F.count("*").alias("leaked"))
     a = tagged.agg(F.count("*").alias("blocks"))
     b = found.agg(F.count("*").alias("detections"), F.count_distinct("original_text").alias("raw_values"))
     return a.crossJoin(b).crossJoin(left)  # one row each
