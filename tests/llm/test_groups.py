@@ -238,6 +238,18 @@ def test_vectors(spark, tile):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim in [*range(1, 81), 200]:
+        for _ in range(40 if dim == 200 else 1):
+            base = rng.normal(size=dim)
+            rows += [(len(rows) + k, [float(x) for x in base + k * 1e-3 * rng.normal(size=dim)]) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter(tuple(r) for r in vectors.near_duplicates(df, recall=0.9999).collect())
+    assert got == near_vectors(rows)
+
+
 def test_vector_recall(spark):
     df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
     rows = df.toPandas().sort_values("vec_id")

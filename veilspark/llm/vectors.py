@@ -10,7 +10,8 @@ further seeded projections, deal the vectors into buckets; pairs that meet in an
 table where they meet. The number of bits grows with the logarithm of the number of vectors, so buckets keep their size.
 Two vectors at the threshold meet in a table with probability (1 - arccos(0.95) / pi) ^ bits; the number of tables is
 chosen for a recall of at least `recall` at the threshold and more above it. Buckets with more than `tile` vectors are cut
-into tiles, and every pair of tiles is a task's work of its own; none is capped.
+into tiles, and every pair of tiles is a task's work of its own; none is capped. Vectors of all lengths go through the
+same jobs: the length is part of a bucket's key, and tables and bits are chosen for each length.
 
 Only links that join components within a tile and counts of links leave a tile, never all pairs of a group.
 Results: vectors that are null, zero, or hold null or non-finite components, have no link; so have vectors of a length
@@ -114,15 +115,12 @@ def near_duplicates(
     own = kept(own.select("vec_id", F.when(fine, F.col("e")).alias("e")), "vectors")
     distinct = own.filter("e is not null").groupBy("e").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     distinct = kept(distinct.withColumn("rid", F.monotonically_increasing_id()), "distinct")
-    dims = [r[0] for r in distinct.select(F.size("e").alias("d")).groupBy("d").count().filter("count > 1").orderBy("d").limit(64).collect()]
-    found = None
-    for dim in dims:
-        rows = distinct.filter(F.size("e") == dim)
-        n = rows.count()
-        tables, bits = plan(n, threshold, recall)
-        links = kept(tile_links(rows, dim, tables, bits, threshold, eps, seed, tile), "links")
-        found = links if found is None else found.unionByName(links)
-    if found is None:
+    # Two numbers for each length; k lengths need k * k / 2 components at least, so there are few of them.
+    sizes = distinct.groupBy(F.size("e").alias("d")).count().filter("count > 1").collect()
+    plans = {r["d"]: plan(r["count"], threshold, recall) for r in sizes}
+    if plans:
+        found = kept(tile_links(distinct, plans, threshold, eps, seed, tile), "links")
+    else:
         found = spark.createDataFrame([], "u long, v long, more long")
     counts = found.filter("more is not null").groupBy("u").agg(F.sum("more").alias("more"))
     groups = components(found.filter("v is not null").select("u", "v"))
@@ -136,40 +134,55 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def tile_links(rows: DataFrame, dim: int, tables: int, bits: int, threshold: float, eps: float, seed: int, tile: int) -> DataFrame:
-    """(u, v, more): links that join components (v set), and link counts of vectors (more set, weighted by copies)."""
+def tile_links(rows: DataFrame, plans: dict[int, tuple[int, int]], threshold: float, eps: float, seed: int, tile: int) -> DataFrame:
+    """(u, v, more): links that join components (v set), and link counts of vectors (more set, weighted by copies).
+
+    plans: (tables, bits) of each length; vectors of other lengths are left out.
+    """
     sc = rows.sparkSession.sparkContext
-    held = sc.broadcast(planes(dim, tables, bits, seed))
+    held = sc.broadcast(plans)
 
     def keyed(batches):
+        last, turned = None, None
         for pdf in batches:
-            x = np.stack(pdf["e"].to_numpy())
-            x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            k = keys_of(x, held.value, tables, bits)
-            yield pd.DataFrame({"rid": pdf["rid"], "copies": pdf["copies"], "unit": list(x), "keys": list(k)})
-
-    coded = kept(rows.select("rid", "copies", "e").mapInPandas(keyed, "rid long, copies long, unit array<double>, keys array<long>"), "coded")
+            for dim, own in pdf.groupby("d", sort=True):
+                if dim not in held.value:
+                    continue
+                tables, bits = held.value[dim]
+                if dim != last:  # rows come by length
+                    last, turned = dim, planes(dim, tables, bits, seed)
+                x = np.stack(own["e"].to_numpy())
+                x = x / np.abs(x).max(1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                k = keys_of(x, turned, tables, bits)
+                yield pd.DataFrame({"d": own["d"], "rid": own["rid"], "copies": own["copies"], "unit": list(x), "keys": list(k)})
+
+    sized = rows.select(F.size("e").alias("d"), "rid", "copies", "e").sortWithinPartitions("d")
+    coded = kept(sized.mapInPandas(keyed, "d int, rid long, copies long, unit array<double>, keys array<long>"), "coded")
     placed = coded.select("*", F.posexplode("keys").alias("t", "key"))
     # Buckets of more than a tile are rare; their list is at most tables * vectors / tile long.
-    large = kept(placed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "large")
+    large = kept(placed.groupBy("d", "t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "large")
     if large.isEmpty():
         placed = placed.withColumn("parts", F.lit(1))
     else:
-        placed = placed.join(large.drop("n"), ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        placed = placed.join(large.drop("n"), ["d", "t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("parts")).cast("int")
     placed = placed.withColumn("part", part)
     # A part meets every part of its bucket once: as the first of a pair of parts, or as the second.
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("a"), F.greatest(F.col("part"), o).alias("b")))
-    spread = placed.select("rid", "copies", "unit", "keys", "t", "key", "part", F.explode(met).alias("m")).select("*", "m.a", "m.b").drop("m")
+    spread = placed.select("rid", "copies", "unit", "keys", "d", "t", "key", "part", F.explode(met).alias("m")).select("*", "m.a", "m.b").drop("m")
 
     def links(batches):
-        work = Tile(dim, threshold, eps, seed)
+        work = None
         out: dict[str, list] = {"u": [], "v": [], "more": []}
 
         def finish(pdf: pd.DataFrame) -> None:
+            nonlocal work
             if len(pdf) < 2:
                 return
+            dim = int(pdf["d"].iloc[0])
+            if work is None or work.dim != dim:  # buckets come by length
+                work = Tile(dim, threshold, eps, seed)
             table, a, b = int(pdf["t"].iloc[0]), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
             rid, copies, part = pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
             all_ = work.prepared(np.stack(pdf["unit"].to_numpy()), np.stack(pdf["keys"].to_numpy()))
@@ -200,7 +213,7 @@ def tile_links(rows: DataFrame, dim: int, tables: int, bits: int, threshold: flo
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            code = pdf[["t", "key", "a", "b"]].to_numpy()
+            code = pdf[["d", "t", "key", "a", "b"]].to_numpy()
             cuts = np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1
             bounds = [0, *cuts.tolist()]
             for x, y in zip(bounds, bounds[1:], strict=False):
@@ -213,6 +226,6 @@ def tile_links(rows: DataFrame, dim: int, tables: int, bits: int, threshold: flo
             finish(rest)
         yield told()
 
-    keys = ["t", "key", "a", "b"]
+    keys = ["d", "t", "key", "a", "b"]
     dealt = spread.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(links, "u long, v long, more long")
