@@ -144,6 +144,22 @@ def test_code_switched_words():
     assert got == ["en"] * 4 + ["es"] * 5
 
 
+def test_letters_of_long_runs_count():
+    def bag(word):
+        at, found = langid.features(["the", word, "casa"])
+        return sorted(found[at == 1].tolist())
+
+    run = "abcdefghij" * 5
+    assert bag(run + "xyz") != bag(run + "uvw") and bag(run + "q" * 3000 + "r") != bag(run + "q" * 3000 + "s")
+    assert len(bag(run)) == 2 + 8 + 49 + 48 and len(bag(run[:40])) == 2 + 8 + 39 + 38
+    assert set(langid.long_features(run[:40])[1:]) <= set(bag(run[:40]))  # one and the same feature, whatever a word's length
+    en, es = "the house is with the other and this from that", "la casa con los otros para que esta desde donde"
+    field = langid.fit([en] * 20 + [es] * 20, ["en"] * 20 + ["es"] * 20)
+    glued = lambda a, b: (a * 2).replace(" ", "")[:40] + (b * 30).replace(" ", "")
+    assert [lang for lang, _ in field([glued(en, es), glued(es, en)])] == ["es", "en"]
+    assert field([en.replace(" ", "") * 20_000])[0][0] == "en"
+
+
 def test_forest_walk_matches_plain_walk():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(800, 5))

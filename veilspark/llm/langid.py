@@ -17,6 +17,7 @@ from itertools import chain
 from zlib import crc32
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,28 +26,53 @@ from veilspark.llm.common import doc_texts, held_out, per_text
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, BLOCK = 15, 64
-#: Words whose emissions a worker remembers.
-MEMO = 300_000
+#: Words whose emissions a worker remembers; letters of a word beyond which it is hashed on its own.
+MEMO, GRID = 300_000, 40
+MANY = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashed(n: int, kind: int, *letters: np.ndarray) -> np.ndarray:
+    """n features of a kind from letters that stand side by side."""
+    h = np.full(n, kind + 1, np.uint64) * MANY
+    for x in letters:
+        h = (h ^ x) * MANY
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def long_features(word: str) -> np.ndarray:
+    """What features() gives a word, for one of many letters: n-grams of all letters, affixes from both ends."""
+    x = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(x)
+    out = [np.array([xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> (64 - BITS)], np.int64)]
+    out.append(hashed(1, 1, np.full(1, min(n, 12), np.uint64)))
+    for j in range(4):
+        out.append(hashed(1, 2 + j, *(x[i : i + 1] for i in range(j + 1))))
+        out.append(hashed(1, 6 + j, *(x[n - 1 - i : n - i] for i in range(j + 1))))
+    for k in (1, 2):
+        out.append(hashed(n - k, 10 + k, *(x[i : n - k + i] for i in range(k + 1))))
+    return np.concatenate(out)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of lower-case words as (index of the word, feature): the word itself, its length, affixes of up to
-    four letters, n-grams of two and three. Of longer words 40 letters count."""
-    order = np.argsort([-len(w) for w in words], kind="stable")
-    grid = np.array(words, "U40")[order].view(np.uint32).reshape(len(words), 40).astype(np.uint64)
-    size = np.minimum([len(words[i]) for i in order], 40)
+    four letters, n-grams of two and three. All letters count, however long a word is."""
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(-size, kind="stable")
+    longer = order[: int((size > GRID).sum())]
+    order = order[len(longer) :]
+    size = size[order]
+    grid = np.array([words[i] for i in order], f"U{GRID}").view(np.uint32).reshape(len(order), GRID).astype(np.uint64)
     at, found = [], []
-    many = np.uint64(0x9E3779B97F4A7C15)
+    for i in longer:
+        found.append(long_features(words[i]))
+        at.append(np.full(len(found[-1]), i))
 
     def add(n: int, kind: int, *letters: np.ndarray) -> None:
-        h = np.full(n, kind + 1, np.uint64) * many
-        for x in letters:
-            h = (h ^ x) * many
-            h ^= h >> np.uint64(29)
         at.append(order[:n])
-        found.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+        found.append(hashed(n, kind, *letters))
 
-    n = len(words)
+    n = len(order)
     add(n, 0, *(grid[:, j] for j in range(int(size.max(initial=0)))))
     add(n, 1, np.minimum(size, 12).astype(np.uint64))
     for j in range(int(size.max(initial=0))):
