@@ -36,7 +36,7 @@ def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.Struct
     make() runs once in each task and gives a function from a list of texts (null: None) to rows of fields. Texts arrive
     in Arrow batches; the function sees them in pieces of about `piece` characters.
     """
-    arrow = pa.schema([pa.field(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}[f.dataType.simpleString()]) for f in fields])
+    arrow = pa.schema([pa.field(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}[f.dataType.simpleString()]) for f in fields])
 
     def run(batches):
         work = make()

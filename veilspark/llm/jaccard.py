@@ -3,44 +3,53 @@
 A document's set holds its distinct shingles of `width` words. Two documents link when 100 * |intersection| >=
 percent * |union|.
 
-Global order: shingles are ordered by how often they occur, rarest first, then by hash. Counts come from all
-documents, in a sketch of fixed size (2 ** SKETCH_BITS counters, so its broadcast has a proven bound); a collision there
-moves a shingle in the order, which costs time but never a link, as any global order is right. A shingle's id carries its
-place in the order: 8 bits of frequency level above 56 bits of hash.
+Global order: shingles are ordered by how often they occur, rarest first, then by hash. Counts come from all documents, in
+a sketch whose counters grow with the characters of the input up to 2 ** MAX_SKETCH_BITS (16 MB as sent to the workers); a
+collision there moves a shingle in the order, which costs time but never a link, as any global order is right. A shingle's
+id carries its place in the order: 8 bits of frequency level above 56 bits of hash.
 
 Candidates: linked sets share a shingle among their first n - ceil(percent n / 100) + 1, and sizes and positions bound
-their overlap. Equal sets are one set. For each shared shingle, every set is first compared with one hub, chosen by a hash,
-and with its NEIGHBOURS next sets in the order of that hash, so a group of k similar sets gives a multiple of k pairs for a
-shingle, not k * k. Then all pairs that are still in different components are compared; those within a component can
-add no component.
+their overlap. Equal sets are one set.
 
-Vertical partitioning: the global order is cut into FRAGMENTS ranges of equal mass; each set is cut into the same
-fragments; each candidate pair's overlap is counted in each fragment on its own and summed per pair.
+1. The sets of each shared shingle are compared with one hub, the first in one fixed order of all sets, so that the
+   shingles of a group agree on the hub. Shingles with many sets are dealt out into sublists with hubs of their own, which
+   are then compared with the hub of the sublists. A group of k sets gives about k pairs, not k * k.
+2. Shingles whose sets are in more than one component stay open; of those with the same sets one stays. Their sets are
+   compared in tiles by bitmaps that bound the overlap from above. Of the pairs between components that the bound leaves,
+   the most alike that span a tile's components are verified, then, once components have grown, all that are left.
+   Pairs leave a tile only as far as they can still join components.
+
+Vertical partitioning: the global order is cut into FRAGMENTS ranges of equal mass; each set in a pair is cut into the same
+fragments; each pair's overlap is counted in each fragment on its own and summed per pair. Only these sums make links.
 
 Results: null texts and texts without a word have an empty set (n_shingles 0), link with nothing and are their own
 component. With fewer words than `width` the whole sequence is one shingle. Repeated rows have equal sets. A row with null
-id takes part; it never names a component that holds another id.
+id takes part; it never names a component that holds another id. Shingles are known by 64-bit hashes, 56 bits of it in
+pairs: among a billion shingles of one corpus a given pair's overlap is off by one with odds below one in a million.
 """
 
 import zlib
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import doc_texts, per_text
+from veilspark.llm.common import doc_texts, free_name, per_text
 from veilspark.llm.components import components
 from veilspark.llm.scratch import dropped, kept
 
-SKETCH_BITS, FRAGMENTS, CHUNKS = 22, 2, 16
-#: Steps in a shingle's list within which sets are compared first; rows of four longs that may be broadcast.
-NEIGHBOURS, BROADCAST_ROWS = 12, 100_000
-#: Words whose hashes a worker remembers.
-MEMO = 200_000
+MIN_SKETCH_BITS, MAX_SKETCH_BITS, FRAGMENTS, CHUNKS = 16, 24, 4, 16
+#: Frequency level (four times a binary logarithm) above which a shingle's sets are dealt into sublists; sets of one tile.
+HOT_LEVEL, TILE = 40, 2048
+#: Rows that may be broadcast, of four longs and of two. Beyond these counts both sides are shuffled.
+BROADCAST_NODES, BROADCAST_IDS = 100_000, 1_000_000
+#: Words whose hashes a worker remembers; bits of bitmaps that are multiplied at once.
+MEMO, COLUMNS = 200_000, 8192
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -54,6 +63,13 @@ class Hashes(dict):
         return h
 
 
+def stirred(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed, one to one."""
+    for m, s in ((MIX[1], 30), (MIX[2], 27)):
+        x = (x ^ (x >> np.uint64(s))) * m
+    return x ^ (x >> np.uint64(31))
+
+
 class Shingler:
     """Shingle sets of texts as sorted arrays of distinct 64-bit hashes."""
 
@@ -76,9 +92,7 @@ class Shingler:
         out = np.full(n, k, np.uint64)
         for i in range(k):
             out = (out * MIX[0]) + h[i : i + n]
-        for m, s in ((MIX[1], 30), (MIX[2], 27)):
-            out = (out ^ (out >> np.uint64(s))) * m
-        return out ^ (out >> np.uint64(31))
+        return stirred(out)
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -89,43 +103,72 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Ids of the shingles in the global order."""
-    level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    bits = len(levels).bit_length() - 1
+    level = levels[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
     return np.sort((level << np.uint64(56)) | (s & np.uint64((1 << 56) - 1))).astype(np.int64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each value of the highest bits of a hash, two to four bits for each shingle."""
+    k = max(6, (2 * len(s) - 1).bit_length())
+    seen = np.zeros(1 << k, bool)
+    seen[(s >> np.uint64(64 - k)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of 8 bytes by planes of bytes, of which the higher are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequency level of each counter: four times the binary logarithm of its number of shingles, at most 127; and the counters."""
-    step = (1 << SKETCH_BITS) // CHUNKS
+    """Frequency level of each counter: four times the binary logarithm of its number of shingles, at most 127; and the counters.
+
+    A counter for every 24 characters, about four shingles, within the bounds on their number.
+    """
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    bits = min(MAX_SKETCH_BITS, max(MIN_SKETCH_BITS, (chars // 24).bit_length()))
+    step = (1 << bits) // CHUNKS
     schema = "chunk int, counts binary"
 
     def count(batches):
-        sh, total = Shingler(width), np.zeros(1 << SKETCH_BITS, np.int32)
-        held = []
+        sh, total = Shingler(width), np.zeros(1 << bits, np.int32)
+        held, size = [], 0
+
+        def add():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            total[at] += n.astype(np.int32)
+            held.clear()
+
         for pdf in batches:
             for text in pdf["text"]:
                 if len(s := sh.all(text)):
-                    held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                if len(held) >= 1000:
-                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
-                    held = []
+                    held.append((s >> np.uint64(64 - bits)).astype(np.int32))
+                    if (size := size + len(s)) >= 1_000_000:
+                        add()
+                        size = 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+            add()
         if total.any():
-            yield pd.DataFrame({"chunk": range(CHUNKS), "counts": [zlib.compress(total[i * step : (i + 1) * step].astype("<i8").tobytes(), 1) for i in range(CHUNKS)]})
+            yield pd.DataFrame({"chunk": range(CHUNKS), "counts": [packed(total[i * step : (i + 1) * step]) for i in range(CHUNKS)]})
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for c, raw in zip(pdf["chunk"], pdf["counts"], strict=True):
-                sums.setdefault(int(c), np.zeros(step, np.int64)).__iadd__(np.frombuffer(zlib.decompress(raw), "<i8"))
-        yield pd.DataFrame({"chunk": list(sums), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]})
+                sums.setdefault(int(c), np.zeros(step, np.int64)).__iadd__(unpacked(raw))
+        yield pd.DataFrame({"chunk": list(sums), "counts": [packed(x) for x in sums.values()]})
 
     parts = docs.select("text").mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 8)
     once = parts.repartition(CHUNKS * 8, "chunk", "part").select("chunk", "counts").mapInPandas(merge, schema)
-    rows = once.repartition(CHUNKS, "chunk").mapInPandas(merge, schema).collect()  # CHUNKS rows, 2 ** SKETCH_BITS counters in all
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    rows = once.repartition(CHUNKS, "chunk").mapInPandas(merge, schema).collect()  # CHUNKS rows, 2 ** bits counters in all
+    total = np.zeros(1 << bits, np.int64)
     for r in rows:
-        total[r["chunk"] * step : (r["chunk"] + 1) * step] += np.frombuffer(zlib.decompress(bytes(r["counts"])), "<i8")
+        total[r["chunk"] * step : (r["chunk"] + 1) * step] += unpacked(bytes(r["counts"]))
     return np.minimum(127, np.floor(4 * np.log2(np.maximum(1, total)))).astype(np.uint8), total
 
 
@@ -143,28 +186,205 @@ def cuts(levels: np.ndarray, total: np.ndarray, fragments: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def linked(n: Column, m: Column, overlap: Column, percent: int) -> Column:
-    """Whether an overlap of sets of sizes n and m makes a link."""
+def linked(n, m, overlap, percent: int):
+    """Whether an overlap of sets of sizes n and m makes a link. Columns or arrays."""
     return (100 + percent) * overlap >= percent * (n + m)
 
 
-def by_hash() -> WindowSpec:
-    """The sets of a token in an order that differs from token to token."""
-    return Window.partitionBy("token").orderBy(F.xxhash64("token", "rid"), "rid")
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal sorted keys begin and end."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return begin, np.append(begin[1:], len(keys)) if len(keys) else begin
+
+
+def sublists(token: np.ndarray, rid: np.ndarray, hot: int) -> np.ndarray:
+    """The sublist of each occurrence: one and the same for a shingle up to the level `hot`, beyond it one of a number that
+    doubles with the frequency."""
+    level = token >> np.int64(56)
+    many = np.left_shift(np.uint64(1), np.clip(-(-(level - hot) // 4), 0, 62).astype(np.uint64))
+    return stirred(rid.astype(np.uint64) * MIX[0]) & (many - np.uint64(1))
+
+
+TOKENS = "kind int, token long, rid long, n long, pos long, h long, hn long"
+PAIR, SHARED, HUB = range(3)
+
+
+def dealt(parts: int, hot: int):
+    """A function from batches of sets (rid, n, prefix) to their shingles, packed by the part that handles them."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = np.fromiter(map(len, pdf["prefix"]), np.int64, len(pdf))
+            if not sizes.sum():
+                continue
+            token = np.concatenate(pdf["prefix"].to_numpy()).astype(np.int64)
+            rid = np.repeat(pdf["rid"].to_numpy(np.int64), sizes)
+            n = np.repeat(pdf["n"].to_numpy(np.int64), sizes)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            part = (stirred(token.astype(np.uint64) + sublists(token, rid, hot) * MIX[0]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, token, rid, at = part[order], token[order], rid[order], ((n << 32) + pos)[order]
+            begin, end = runs(part)
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip(begin, end, strict=True)]  # noqa: B023, E731
+            yield pd.DataFrame({"part": part[begin], "token": cut(token), "rid": cut(rid), "at": cut(at)})
+
+    return deal
+
+
+def with_hubs(percent: int, hot: int):
+    """A function from packed shingles to pairs with hubs, occurrences of shared shingles, and hubs of sublists."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raw: list[list[bytes]] = [[], [], []]
+        for pdf in batches:
+            for held, c in zip(raw, ("token", "rid", "at"), strict=True):
+                held.extend(pdf[c])
+        token, rid, at = (np.frombuffer(b"".join(held), np.int64) for held in raw)
+        raw.clear()
+        if not len(token):
+            return
+        rank = stirred(rid.astype(np.uint64) * MIX[2])  # one order for all shingles
+        sub = sublists(token, rid, hot)
+        order = np.lexsort((rank, sub, token))
+        token, rid, at, rank, sub = (x[order] for x in (token, rid, at, rank, sub))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (sub[1:] != sub[:-1])])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # of each occurrence the hub's
+        size = np.diff(np.append(np.flatnonzero(new), len(token)))[np.cumsum(new) - 1]
+        split = (token >> np.int64(56)) > hot
+        n, pos = at >> np.int64(32), at & np.int64((1 << 32) - 1)
+
+        def rows(kind: int, which: np.ndarray, h: np.ndarray, hn: np.ndarray) -> Iterator[pd.DataFrame]:
+            for s in range(0, len(which), 200_000):
+                i = which[s : s + 200_000]
+                yield pd.DataFrame({"kind": np.int32(kind), "token": token[i], "rid": rid[i], "n": n[i], "pos": pos[i], "h": h[i], "hn": hn[i]})
+
+        room = np.minimum(n - pos, n[first] - pos[first])
+        fits = linked(n, n[first], room, percent) & (first != np.arange(len(token)))
+        pair = np.flatnonzero(fits)
+        pair = pair[np.unique(np.stack([rid[pair], rid[first[pair]]]), axis=1, return_index=True)[1]] if len(pair) else pair
+        yield from rows(PAIR, pair, rid[first], n[first])
+        yield from rows(SHARED, np.flatnonzero((size > 1) | split), rid, n)
+        yield from rows(HUB, np.flatnonzero(new & split), rank.astype(np.int64), n)
+
+    return work
+
+
+def unfolded(raw: list[bytes], a: int, b: int) -> np.ndarray:
+    """Bits a to b of bitmaps of one length."""
+    return np.unpackbits(np.stack([np.frombuffer(x, np.uint8)[a >> 3 : b >> 3] for x in raw]), axis=1, bitorder="little")
+
+
+def bounds(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most that each of the first sets can share with each of the second; all bitmaps of a side are of one length.
+
+    A longer bitmap is folded to the shorter one's length. Bits that one set has and the other lacks stand for as many
+    shingles at least that the two do not share.
+    """
+    if len(x[0]) > len(y[0]):
+        return bounds(y, x, m, n).T
+    bits, fold = 8 * len(x[0]), len(y[0]) // len(x[0])
+    both, p, q = np.zeros((len(x), len(y)), np.float32), np.zeros(len(x), np.float32), np.zeros(len(y), np.float32)
+    step = max(64, COLUMNS // fold)
+    for a in range(0, bits, step):
+        b = min(bits, a + step)
+        u = unfolded(x, a, b).astype(np.float32)
+        v = unfolded(y, a * fold, b * fold).reshape(len(y), b - a, fold).any(2).astype(np.float32)
+        both += u @ v.T
+        p += u.sum(1)
+        q += v.sum(1)
+    return np.minimum(n[:, None] - (p[:, None] - both), m[None, :] - (q[None, :] - both))
+
+
+def spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j), best first, span what all of them join of the components."""
+    root = np.unique(comp, return_inverse=True)[1]
+    out, at = [], np.arange(len(i))
+    while True:
+        x, y = root[i[at]], root[j[at]]
+        at = at[x != y]
+        if not len(at):
+            return np.concatenate(out) if out else at
+        x, y = root[i[at]], root[j[at]]
+        best = np.full(root.max() + 1, len(at))
+        np.minimum.at(best, x, np.arange(len(at)))
+        np.minimum.at(best, y, np.arange(len(at)))
+        pick = np.unique(best[best < len(at)])
+        out.append(at[pick])
+        name = np.arange(root.max() + 1)
+        while (name[x[pick]] != name[y[pick]]).any():
+            low = np.minimum(name[x[pick]], name[y[pick]])
+            np.minimum.at(name, name[x[pick]], low)
+            np.minimum.at(name, name[y[pick]], low)
+            while (name[name] != name).any():
+                name = name[name]
+        root = name[root]
+
+
+def tile_pairs(percent: int, every: bool):
+    """A function from rows (token, a, b, part, rid, n, c, bits), tile after tile, to pairs (rid, n, h, hn) that may link
+    components: those that span, or every one."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
+        rid, n, c, part = (pdf[k].to_numpy(np.int64) for k in ("rid", "n", "c", "part"))
+        if (c == c[0]).all():
+            return None
+        raw = pdf["bits"].tolist()
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        found = []
+        for s in np.unique(size):
+            for t in np.unique(size):
+                x, y = np.flatnonzero((size == s) & (part == a)), np.flatnonzero((size == t) & (part == b))
+                if not len(x) or not len(y) or (a == b and s > t):
+                    continue
+                if 100 * min(n[x].max(), n[y].max()) < percent * max(n[x].min(), n[y].min()):
+                    continue
+                for k in range(0, len(x), 512):
+                    z = x[k : k + 512]
+                    top = bounds([raw[w] for w in z], [raw[w] for w in y], n[z], n[y])
+                    ok = linked(n[z][:, None], n[y][None, :], top, percent) & (c[z][:, None] != c[y][None, :])
+                    if a == b and s == t:
+                        ok &= z[:, None] < y[None, :]
+                    i, j = np.nonzero(ok)
+                    found.append((z[i], y[j], top[i, j] / (n[z][i] + n[y][j])))
+        if not found:
+            return None
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not every:
+            order = np.lexsort((np.maximum(rid[i], rid[j]), np.minimum(rid[i], rid[j]), -score))
+            i, j = i[order], j[order]
+            pick = spanning(c, i, j)
+            i, j = i[pick], j[pick]
+        return pd.DataFrame({"rid": rid[i], "n": n[i], "h": rid[j], "hn": n[j]})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            code = pdf[["token", "a", "b"]].to_numpy()
+            edges = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist()]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if (out := compare(pdf.iloc[x:y])) is not None:
+                    yield out
+            rest = pdf.iloc[edges[-1] :]
+        if rest is not None and len(rest) and (out := compare(rest)) is not None:
+            yield out
+
+    return work
 
 
 class Join:
     """One join: the global order, the distinct sets, and the counting of overlaps."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width, self.percent = doc_texts(docs), width, percent
+    def __init__(self, docs: DataFrame, width: int, percent: int, hot: int = HOT_LEVEL, tile: int = TILE):
+        self.docs, self.width, self.percent, self.hot, self.tile = doc_texts(docs), width, percent, hot, tile
         levels, total = sketch(self.docs, width)
         self.cuts = cuts(levels, total, FRAGMENTS)
         self.ready: DataFrame | None = None
         self.parts: DataFrame | None = None
         self.levels = docs.sparkSession.sparkContext.broadcast(levels)
         held, percent_ = self.levels, percent
-        fields = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
+        fields = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
         def make():
             sh = Shingler(width)
@@ -175,37 +395,34 @@ class Join:
                     s = sh(t)
                     n = len(s)
                     p = n - -(-percent_ * n // 100) + 1 if n else 0
-                    out.append((n, *digest(s), ordered(s, held.value)[:p]))
+                    out.append((n, *digest(s), ordered(s, held.value)[:p], bitmap(s) if n else b""))
                 return out
 
             return work
 
-        found = self.docs.select("doc_id", per_text(make, fields, 2_000_000)("text").alias("c")).select("doc_id", "c.*")
-        found = kept(found, "shingles", 2000)
-        self.rows = found.select("doc_id", "n", "d1", "d2")
-        sets = found.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        found = self.docs.select("doc_id", F.xxhash64("text").alias("hash"), per_text(make, fields, 2_000_000)("text").alias("c")).select("doc_id", "hash", "c.*")
+        wide = kept(found, "shingles", 2000)
+        sets = wide.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
         self.sets = kept(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
+        self.rows = kept(wide.select("doc_id", "hash", "n", "d1", "d2"), "rows")
+        dropped(wide)
 
     def shared(self) -> DataFrame:
-        """Prefix shingles that more than one set has: token, rid, n, pos, and the token's hub h, hn, hpos."""
-        rows = self.sets.select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
-        # Size and position travel through the shuffle as one number.
-        rows = rows.select("token", "rid", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
-        w = by_hash()
-        hub = F.first(F.struct(F.col("rid").alias("h"), F.col("at").alias("hat"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        seen = rows.select("*", hub.alias("hub"), F.lag("rid").over(w).alias("before"), F.lead("rid").over(w).alias("after"))
-        seen = seen.filter("before is not null or after is not null")
-        size, place = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-        at, hat = F.col("at"), F.col("hub.hat")
-        return seen.select("token", "rid", size(at).alias("n"), place(at).alias("pos"), F.col("hub.h").alias("h"), size(hat).alias("hn"), place(hat).alias("hpos"))
-
-    def neighbours(self, own: DataFrame, steps: range) -> DataFrame:
-        """Rows (rid, n, h, hn): sets that stand so many steps apart in a token's list of own(token, rid, n, pos) and may link."""
-        row = F.struct(F.col("rid").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
-        others = F.array_compact(F.array(*[F.lead(row, k).over(by_hash()) for k in steps]))
-        fine = F.filter("others", lambda o: self.possible(F.col("n"), F.col("pos"), o["hn"], o["hpos"]))
-        found = own.withColumn("others", others).withColumn("others", fine).filter(F.size("others") > 0)
-        return found.select("rid", "n", F.explode("others").alias("o")).select("rid", "n", "o.h", "o.hn")
+        """Rows of TOKENS: pairs with hubs, and the occurrences of prefix shingles that more than one set has."""
+        spark = self.sets.sparkSession
+        parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blobs = self.sets.select("rid", "n", "prefix").mapInPandas(dealt(parts, self.hot), "part int, token binary, rid binary, at binary")
+        return blobs.repartition("part").select("token", "rid", "at").mapInPandas(with_hubs(self.percent, self.hot), TOKENS)
+
+    def hub_pairs(self, tokens: DataFrame) -> DataFrame:
+        """Rows (rid, n, h, hn): sets with the hub of a shingle they share, if sizes and positions leave room for a link."""
+        own = tokens.filter(F.col("kind") == PAIR).select("rid", "n", "h", "hn")
+        hubs = tokens.filter(F.col("kind") == HUB).select("token", "rid", "n", "pos", F.col("h").alias("rank"))
+        top = hubs.groupBy("token").agg(F.min(F.struct("rank", "rid", "n", "pos")).alias("t"))
+        met = hubs.join(top, "token").filter(F.col("rid") != F.col("t.rid"))
+        room = F.least(F.col("n") - F.col("pos"), F.col("t.n") - F.col("t.pos"))
+        met = met.filter(linked(F.col("n"), F.col("t.n"), room, self.percent))
+        return own.unionByName(met.select("rid", "n", F.col("t.rid").alias("h"), F.col("t.n").alias("hn")))
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Distinct (a, b, na, nb) with a < b from rows(rid, n, h, hn)."""
@@ -213,12 +430,6 @@ class Join:
         both = ((F.least("rid", "h"), "a"), (F.greatest("rid", "h"), "b"), (F.when(low, F.col("n")).otherwise(F.col("hn")), "na"), (F.when(low, F.col("hn")).otherwise(F.col("n")), "nb"))
         return rows.select(*(c.alias(x) for c, x in both)).distinct()
 
-    def possible(self, n: Column, pos: Column, m: Column, mpos: Column) -> Column:
-        """Sizes and positions of a shared shingle leave room for a link."""
-        room = F.least(n - pos, m - mpos)
-        sizes = F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
-        return sizes & linked(n, m, room, self.percent)
-
     def fragments(self, nodes: DataFrame) -> None:
         """Adds the fragments of those sets in nodes(rid) that have none yet: one text of each is read again and cut."""
         new = nodes if self.ready is None else nodes.join(self.ready, "rid", "left_anti")
@@ -246,7 +457,7 @@ class Join:
         names = [f"f{i}" for i in range(FRAGMENTS)]
         fields = T.StructType([T.StructField(c, T.LongType()) for c in ("e1", "e2")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names])
         # Up to a checked number of rows of four longs the sets are sent to the texts; beyond it both are shuffled.
-        side = F.broadcast(new) if count <= BROADCAST_ROWS else new
+        side = F.broadcast(new) if count <= BROADCAST_NODES else new
         texts = self.docs.join(side, self.docs["doc_id"].eqNullSafe(new["least"])).select("rid", "d1", "d2", "text")
         # Written before rows of another set are left out: else that filter would take the function below the join, to all texts.
         cut = texts.select("rid", "d1", "d2", per_text(make, fields, 2_000_000)("text").alias("c"))
@@ -257,13 +468,13 @@ class Join:
         self.ready = new.select("rid") if self.ready is None else self.ready.unionByName(new.select("rid"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b, na, nb) that link, by overlaps counted in fragments and summed."""
+        """Those of pairs(a, b, na, nb), written, that link, by overlaps counted in fragments and summed."""
         self.fragments(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
         parts = self.parts
         a = parts.select(F.col("rid").alias("a"), "fragment", F.col("ids").alias("x"))
         b = parts.select(F.col("rid").alias("b"), "fragment", F.col("ids").alias("y"))
         some = pairs
-        if pairs.count() <= BROADCAST_ROWS:  # few pairs go to the fragments, and only the fragments that they name move
+        if pairs.count() <= BROADCAST_NODES:  # few pairs go to the fragments, and only the fragments that they name move
             some = F.broadcast(pairs)
             b = b.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
         counted = a.join(some, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).alias("o"))
@@ -273,52 +484,79 @@ class Join:
 
     def components(self) -> DataFrame:
         """(node, component) for sets with a link."""
-        shared = kept(self.shared(), "shared")
-        hubs = shared.filter((F.col("rid") != F.col("h")) & self.possible(*map(F.col, ("n", "pos", "hn", "hpos"))))
-        rows = hubs.select("rid", "n", "h", "hn").unionByName(self.neighbours(shared.select("token", "rid", "n", "pos"), range(1, NEIGHBOURS + 1)))
-        tried = kept(self.pairs(rows), "pairs")
+        tokens = kept(self.shared(), "tokens")
+        tried = kept(self.pairs(self.hub_pairs(tokens)), "pairs")
         groups = kept(components(self.links(tried)), "components")
-        own = kept(self.open(shared.select("token", "rid", "n", "pos"), groups), "open")
-        dropped(shared)
-        near = kept(self.all_pairs(own).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if near.isEmpty():
-            return groups
-        stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        return components(stars.unionByName(self.links(near)))
-
-    def open(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
-        """rows(token, rid, n, pos) with component c, of tokens whose sets are in more than one component."""
-        rows = rows.select("token", "rid", "n", "pos")
-        rows = kept(rows.join(groups, rows["rid"] == groups["node"], "left").select("token", "rid", "n", "pos", F.coalesce("component", "rid").alias("c")), "placed")
-        mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-        return rows.join(mixed, "token", "left_semi")
-
-    def all_pairs(self, own: DataFrame) -> DataFrame:
-        """Pairs of sets in different components that share a token and may link."""
-        x = own.select("token", "rid", "n", "pos", "c")
-        y = own.select("token", F.col("rid").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("c").alias("hc"))
-        near = x.join(y, "token").filter((F.col("c") < F.col("hc")) & self.possible(*map(F.col, ("n", "pos", "hn", "hpos"))))
-        return self.pairs(near.select("rid", "n", "h", "hn"))
-
-
-def near_copies(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
-    join = Join(docs, width, percent)
+        for every in (False, True):
+            near = self.pairs(self.tiles(tokens, groups, every))
+            near = kept(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if near.isEmpty():
+                continue  # what spans is known; there may be more
+            tried = tried.unionByName(near)
+            stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            groups = kept(components(stars.unionByName(self.links(near))), "components")
+        dropped(tokens)
+        return groups
+
+    def tiles(self, tokens: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
+        """Rows (rid, n, h, hn) of sets in different components that share an open shingle and may link."""
+        own = tokens.filter(F.col("kind") == SHARED).select("token", "rid", "n")
+        own = own.join(groups, own["rid"] == groups["node"], "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("c"))
+        own = kept(own, "placed")
+        # Of open shingles with the same sets one stays: they are known by two hashes over all their sets.
+        lists = own.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+        lists = lists.filter("lo < hi").groupBy("many", "x1", "x2").agg(F.min("token").alias("token"))
+        lists = kept(lists.select("token", F.ceil(F.col("many") / self.tile).cast("int").alias("parts")), "lists")
+        rows = own.join(lists, "token").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("parts")).cast("int"))
+        # A part meets every part of its list once: as the first of a pair of parts, or as the second.
+        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("a"), F.greatest(F.col("part"), o).alias("b")))
+        rows = kept(rows.select("token", "rid", "n", "c", "part", F.explode(met).alias("m")).select("token", "m.a", "m.b", "part", "rid", "n", "c"), "open")
+        rows = rows.join(self.sets.select("rid", "bits"), "rid")
+        keys = ["token", "a", "b"]
+        found = rows.select(*keys, "part", "rid", "n", "c", "bits").repartition(*keys).sortWithinPartitions(*keys)
+        return found.mapInPandas(tile_pairs(self.percent, every), "rid long, n long, h long, hn long")
+
+
+def placed(join: Join) -> DataFrame:
+    """Each row of the input with words: doc_id, hash of its text, n, and the number c of its component."""
     groups = kept(join.components(), "components")
-    named = join.sets.select("rid", "d1", "d2", "least").join(groups, join.sets["rid"] == groups["node"], "left")
-    named = kept(named.select("d1", "d2", "least", F.coalesce("component", "rid").alias("c")), "named")
-    least = kept(named.groupBy("c").agg(F.min("least").alias("component_id")), "least")
-    named = kept(named.join(least, "c").select("d1", "d2", "component_id"), "named")
-    full = join.rows.filter("n > 0").join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = join.sets.select("rid", "d1", "d2").join(groups, join.sets["rid"] == groups["node"], "left")
+    named = kept(named.select("d1", "d2", F.coalesce("component", "rid").alias("c")), "named")
+    return kept(join.rows.filter("n > 0").join(named, ["d1", "d2"]).select("doc_id", "hash", "n", "c"), "placed")
+
+
+def near_copies(docs: DataFrame, width: int = 4, percent: int = 85, **settings: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
+    join = Join(docs, width, percent, **settings)
+    full = placed(join)
+    least = kept(full.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
+    full = full.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     bare = join.rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(bare)
 
 
 def representatives(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs, with all their columns, that name their component: one document of each group.
+    """The rows of docs, with all their columns, that stay: one document of each group, and all without a word.
 
-    Rows that repeat the id of such a document stay or go with it.
+    The smallest doc_id of a group stays, nulls last; of rows that repeat this id the one whose text has the smallest hash,
+    and of rows that repeat its text too, one.
     """
-    found = near_copies(docs, width, percent)
-    stay = kept(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
+    rows = placed(Join(docs, width, percent))
+    first = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    told = kept(rows.join(first, "c").groupBy("doc_id", "hash").agg(F.max(stays).alias("stays"), F.count("*").alias("many")), "told")
+    names = {c: free_name(docs, c) for c in ("near_id", "near_hash")}
+    key, code = names.values()
+    out = docs.withColumns({key: docs["doc_id"].cast("long"), code: F.xxhash64(docs["text"].cast("string"))})
+
+    def side(which: DataFrame) -> tuple[DataFrame, Column]:
+        some = kept(which.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), "told")
+        # Up to a checked number of rows of two longs the ids are sent to the texts; beyond it both are shuffled.
+        return F.broadcast(some) if some.count() <= BROADCAST_IDS else some, out[key].eqNullSafe(some["_id"]) & (out[code] == some["_hash"])
+
+    twice = told.filter("stays and many > 1")
+    hot = None
+    if not twice.isEmpty():
+        hot = out.join(*side(twice), "left_semi").dropDuplicates([key, code])
+    out = out.join(*side(told.filter("not stays or many > 1")), "left_anti")
+    return (out if hot is None else out.unionByName(hot)).drop(key, code)
