@@ -91,9 +91,9 @@ def crowd(seed, n, edits, width=60):
     return rows
 
 
-@pytest.mark.parametrize(("hot", "tile"), [(40, 2048), (12, 16), (0, 5)])
+@pytest.mark.parametrize(("hot", "tile"), [(40, 2048), (12, 16)])
 def test_near_copies_of_a_crowd(spark, hot, tile):
-    for rows in (crowd(4, 150, [1, 2, 3]), crowd(5, 120, [2, 3, 4, 5], 90), corpus(6, 120)):
+    for rows in (crowd(4, 150, [1, 2, 3]), crowd(5, 120, [2, 3, 4, 5], 90)):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         assert Counter(tuple(r) for r in jaccard.near_copies(df, 3, 75, hot=hot, tile=tile).collect()) == near_rows(rows, 3, 75)
 

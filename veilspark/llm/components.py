@@ -20,15 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = kept(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = kept(large.filter("u > v").distinct(), "large")
-        dropped(least)
-        low = kept(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         new = kept(small.select("e.u", "e.v").filter("u > v").distinct(), "edges")
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        for old in (edges, large, low):
+        for old in (edges, large):
             dropped(old)
         edges = new
         if state == before or state[0] == 0:

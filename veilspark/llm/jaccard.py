@@ -109,8 +109,8 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each value of the highest bits of a hash, two to four bits for each shingle."""
-    k = max(6, (2 * len(s) - 1).bit_length())
+    """A bit for each value of the highest bits of a hash, eight to sixteen bits for each shingle."""
+    k = max(6, (8 * len(s) - 1).bit_length())
     seen = np.zeros(1 << k, bool)
     seen[(s >> np.uint64(64 - k)).astype(np.int64)] = True
     return np.packbits(seen, bitorder="little").tobytes()
@@ -382,9 +382,10 @@ class Join:
         self.cuts = cuts(levels, total, FRAGMENTS)
         self.ready: DataFrame | None = None
         self.parts: DataFrame | None = None
+        self.maps: DataFrame | None = None
         self.levels = docs.sparkSession.sparkContext.broadcast(levels)
         held, percent_ = self.levels, percent
-        fields = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+        fields = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
 
         def make():
             sh = Shingler(width)
@@ -395,14 +396,14 @@ class Join:
                     s = sh(t)
                     n = len(s)
                     p = n - -(-percent_ * n // 100) + 1 if n else 0
-                    out.append((n, *digest(s), ordered(s, held.value)[:p], bitmap(s) if n else b""))
+                    out.append((n, *digest(s), ordered(s, held.value)[:p]))
                 return out
 
             return work
 
         found = self.docs.select("doc_id", F.xxhash64("text").alias("hash"), per_text(make, fields, 2_000_000)("text").alias("c")).select("doc_id", "hash", "c.*")
         wide = kept(found, "shingles", 2000)
-        sets = wide.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
+        sets = wide.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix")))
         self.sets = kept(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
         self.rows = kept(wide.select("doc_id", "hash", "n", "d1", "d2"), "rows")
         dropped(wide)
@@ -431,13 +432,14 @@ class Join:
         return rows.select(*(c.alias(x) for c, x in both)).distinct()
 
     def fragments(self, nodes: DataFrame) -> None:
-        """Adds the fragments of those sets in nodes(rid) that have none yet: one text of each is read again and cut."""
+        """Adds the fragments and bitmaps of those sets in nodes(rid) that have none yet: one text of each is read again and cut."""
         new = nodes if self.ready is None else nodes.join(self.ready, "rid", "left_anti")
         new = kept(new.join(self.sets.select("rid", "least", "d1", "d2"), "rid"), "nodes")
         count = new.count()
         if not count:
             if self.parts is None:
                 self.parts = nodes.sparkSession.createDataFrame([], "rid long, fragment int, ids array<long>")
+                self.maps = nodes.sparkSession.createDataFrame([], "rid long, bits binary")
             return
         held, width, at = self.levels, self.width, self.cuts
 
@@ -449,22 +451,24 @@ class Join:
                 for t in texts:
                     s = sh(t)
                     ids = ordered(s, held.value)
-                    out.append((*digest(s), *np.split(ids, np.searchsorted(ids, at))))
+                    out.append((*digest(s), bitmap(s), *np.split(ids, np.searchsorted(ids, at))))
                 return out
 
             return work
 
         names = [f"f{i}" for i in range(FRAGMENTS)]
-        fields = T.StructType([T.StructField(c, T.LongType()) for c in ("e1", "e2")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names])
+        fields = T.StructType([T.StructField(c, T.LongType()) for c in ("e1", "e2")] + [T.StructField("bits", T.BinaryType())] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names])
         # Up to a checked number of rows of four longs the sets are sent to the texts; beyond it both are shuffled.
         side = F.broadcast(new) if count <= BROADCAST_NODES else new
         texts = self.docs.join(side, self.docs["doc_id"].eqNullSafe(new["least"])).select("rid", "d1", "d2", "text")
         # Written before rows of another set are left out: else that filter would take the function below the join, to all texts.
         cut = texts.select("rid", "d1", "d2", per_text(make, fields, 2_000_000)("text").alias("c"))
         same = (F.col("c.e1") == F.col("d1")) & (F.col("c.e2") == F.col("d2"))
-        written = kept(cut.select("rid", same.alias("same"), F.posexplode(F.array(*[F.col(f"c.{c}") for c in names])).alias("fragment", "ids")), "fragments", 1000)
-        parts = written.filter("same").filter(F.size("ids") > 0)
+        written = kept(cut.select("rid", same.alias("same"), "c.bits", *(f"c.{c}" for c in names)), "fragments", 1000).filter("same")
+        parts = written.select("rid", F.posexplode(F.array(*names)).alias("fragment", "ids")).filter(F.size("ids") > 0)
+        maps = written.groupBy("rid").agg(F.first("bits").alias("bits"))  # an id may stand in several rows
         self.parts = parts if self.parts is None else self.parts.unionByName(parts)
+        self.maps = maps if self.maps is None else self.maps.unionByName(maps)
         self.ready = new.select("rid") if self.ready is None else self.ready.unionByName(new.select("rid"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -511,7 +515,8 @@ class Join:
         # A part meets every part of its list once: as the first of a pair of parts, or as the second.
         met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("a"), F.greatest(F.col("part"), o).alias("b")))
         rows = kept(rows.select("token", "rid", "n", "c", "part", F.explode(met).alias("m")).select("token", "m.a", "m.b", "part", "rid", "n", "c"), "open")
-        rows = rows.join(self.sets.select("rid", "bits"), "rid")
+        self.fragments(rows.select("rid").distinct())
+        rows = rows.join(self.maps, "rid")
         keys = ["token", "a", "b"]
         found = rows.select(*keys, "part", "rid", "n", "c", "bits").repartition(*keys).sortWithinPartitions(*keys)
         return found.mapInPandas(tile_pairs(self.percent, every), "rid long, n long, h long, hn long")
