@@ -23,6 +23,8 @@ from veilspark.llm.common import free_name
 from veilspark.llm.scratch import dropped, kept
 
 BLOCK, SPANS = 4096, 1024
+#: Ids that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -127,12 +129,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and its text are alike for this purpose only if all columns are: the id decides, and of rows with
     that id and text one is taken.
     """
-    keep_id, keep_sha, sha, many = (free_name(docs, c) for c in ("keep_id", "keep_sha", "text_sha", "many"))
-    stay = groups(docs).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
-    tagged = docs.withColumn(sha, F.sha2(normalised(docs["text"]), 256))
-    out = tagged.join(stay, tagged["doc_id"].cast("long").eqNullSafe(stay[keep_id]) & (tagged[sha] == stay[keep_sha])).drop(keep_id, keep_sha)
-    repeated = kept(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(many)), "repeated")
-    if not repeated.isEmpty():  # ids in several rows: one row for each id and text
-        hot = out.join(repeated, out["doc_id"].eqNullSafe(repeated[many])).drop(many).dropDuplicates(["doc_id", sha])
-        out = out.join(repeated, out["doc_id"].eqNullSafe(repeated[many]), "left_anti").unionByName(hot)
-    return out.drop(sha)
+    found = kept(groups(docs), "found")
+    names = {c: free_name(docs, c) for c in ("dedup_id", "dedup_sha")}
+    key, sha = names.values()
+    own = docs.withColumn(key, docs["doc_id"].cast("long"))
+    ids = kept(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("many"), F.max("kept").alias("any")).filter("many > 1 or not any"), "leaving")
+    # Ids of rows that leave, and ids in several rows, which are looked at by id and text. Up to a checked number of ids (of
+    # eight bytes) they are sent to the texts; beyond it both are shuffled.
+    side = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+    out = own.join(side(ids.select("_id")), own[key].eqNullSafe(F.col("_id")), "left_anti")
+    several = ids.filter("many > 1 and any").select("_id")
+    if not several.isEmpty():
+        hot = own.join(side(several), own[key].eqNullSafe(F.col("_id")), "left_semi").withColumn(sha, F.sha2(normalised(docs["text"]), 256))
+        stay = found.filter("kept").join(several, found["doc_id"].eqNullSafe(F.col("_id"))).select("_id", F.col("text_sha256").alias("_sha"))
+        hot = hot.join(stay, hot[key].eqNullSafe(stay["_id"]) & (hot[sha] == stay["_sha"]), "left_semi").dropDuplicates([key, sha])
+        out = out.unionByName(hot.drop(sha))
+    return out.drop(key)
