@@ -1,6 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-A cluster names it in spark.checkpoint.dir. Where that is unset, as in tests, a local folder is chosen and set.
+A cluster names it in spark.checkpoint.dir; where it does not, this raises. A local session without it, as in tests, gets a
+local folder, which is set.
 A table that was written cuts lineage: after the loss of an executor it is read, not computed, again.
 """
 
@@ -17,6 +18,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
