@@ -124,7 +124,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: i
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """doc_id, text, label of at most limit labelled documents outside the held-out fold, by smallest hash of the id.
 
-    The ids that are broadcast number at most limit.
+    The ids that are broadcast number at most limit. Of the texts of an id the one with the smallest hash is taken.
     """
     ids = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("double").alias("label"))
@@ -134,14 +134,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
         .limit(limit)
     )
-    return doc_texts(docs).join(F.broadcast(ids), "doc_id")
+    rows = doc_texts(docs).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("doc_id", "t.text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000) -> Forest:
     """A forest from at most limit labelled documents (one row of features each reaches the driver)."""
     fields = T.StructType([T.StructField("x", T.ArrayType(T.FloatType()))])
     stats = per_text(lambda: lambda texts: [(statistics(t),) for t in texts], fields)
-    rows = labelled_sample(docs, labels, "quality", limit).select("doc_id", "label", stats("text")["x"].alias("x")).limit(4 * limit).collect()
+    rows = labelled_sample(docs, labels, "quality", limit).select("doc_id", "label", stats("text")["x"].alias("x")).collect()  # limit rows at most
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     x = np.array([r[2] for r in rows], np.float32).astype(np.float64).reshape(-1, len(FEATURES))
     return grow(x, np.array([r[1] for r in rows]))
