@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 
 from veilspark.llm.common import doc_texts, held_out, per_text
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs that Python counts as word characters though they are neither letters nor decimal digits, such as fractions.
+SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
 BITS, BLOCK = 15, 64
 #: Words whose emissions a worker remembers; letters of a word beyond which it is hashed on its own.
 MEMO, GRID = 300_000, 40
@@ -126,7 +128,7 @@ def posteriors(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: np
     for r in range(1, int(parts.max())):
         b = np.flatnonzero(nth == r)
         v = np.einsum("nk,nkj->nj", alpha0[b - 1], prod[spot[b - 1]])
-        alpha0[b] = v / v.max(1, keepdims=True)
+        alpha0[b] = v / v.sum(1, keepdims=True)  # as the sweep scales, whose sums make the normaliser
     # Forward.
     a = np.empty_like(e)
     cur = alpha0[order]
@@ -288,7 +290,8 @@ def train(docs: DataFrame, limit: int = 1_500, chars: int = 20_000) -> Field:
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= chars))
     ids = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(limit)
-    rows = own.join(F.broadcast(ids.distinct()), "doc_id").limit(4 * limit).collect()
+    # Of the rows of an id the one with the smallest hash: limit rows at most.
+    rows = own.join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("t")).select("doc_id", "t.*").collect()
     rows.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
