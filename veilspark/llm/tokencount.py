@@ -32,8 +32,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHER, SPACE_1, SPACE_N, WHITE_1, WHITE_N, APO
 #: Outputs: a pre-token begins at this code point, at the one before.
 HERE, BEFORE = 1, 2
 CHUNK = 256
-#: A worker forgets counted pre-tokens beyond so many, and compiled states beyond so many.
-MEMO, STATES = 1_000_000, 400_000
+#: A worker forgets counted pre-tokens beyond so many, compiled states beyond so many, tested pairs of tokens beyond so many.
+MEMO, STATES, FITS = 1_000_000, 400_000, 400_000
 
 
 def classes() -> np.ndarray:
@@ -174,14 +174,19 @@ class Counter:
         self.prefixes = {t[:i] for t in vocabulary.ids for i in range(1, len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.memo: dict[str, int] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.known: dict[tuple, int] = {}
         self.of: list[tuple] = []
         self.moves: list[dict[int, tuple[int, int]]] = []
         self.state((b"", (None,), (0,)))
 
+    def forget(self, s: int) -> int:
+        """Drops all states but the first and s; the new number of s."""
+        key = self.of[s]
+        for held in (self.known, self.of, self.moves):
+            held.clear()
+        self.state((b"", (None,), (0,)))
+        return self.state(key)
+
     def state(self, key: tuple) -> int:
         if key not in self.known:
             self.known[key] = len(self.of)
@@ -204,11 +209,15 @@ class Counter:
         if a is None:
             return True
         if (a, b) not in self.fits:
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             self.fits[a, b] = self.merged(a + b) == [a, b]
         return self.fits[a, b]
 
     def compile(self, s: int, byte: int) -> tuple[int, int]:
         """The transition of state s on a byte: (next state, change of the token count)."""
+        if len(self.of) >= STATES:  # also within a pre-token, whatever its length
+            s = self.forget(s)
         suffix, last, count = self.of[s]
         grown = suffix + bytes([byte])
         for j in range(len(grown)):
@@ -227,8 +236,6 @@ class Counter:
         if (n := self.memo.get(pretoken)) is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            if len(self.of) >= STATES:
-                self.reset()
             s, n, moves = 0, 0, self.moves
             for byte in pretoken.encode():
                 s, more = moves[s].get(byte) or self.compile(s, byte)
