@@ -55,7 +55,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, or null. A rule fits its host and all subdomains."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the last that fits wins: the longest
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last that fits wins: the longest, of these the first listed
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
