@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from veilspark.llm.bytebpe import LATER_SET, PATTERN, PATTERN_LATER, Vocabulary, load
 from veilspark.llm.common import doc_texts, per_text, pieces
 
-#: Encoded pre-tokens that a worker remembers.
-MEMO = 1_000_000
+#: Encoded pre-tokens that a worker remembers, and letters of a pre-token beyond which it is not remembered.
+MEMO, LONG = 1_000_000, 256
 
 
 def encode_partition(words: list[bytes], v: Vocabulary) -> list[list[int]]:
@@ -109,7 +109,11 @@ class Codec:
         new = list(set(chain.from_iterable(split)).difference(self.memo))
         for w, ids in zip(new, encode_partition([w.encode() if isinstance(w, str) else b"" for w in new], self.v), strict=True):
             self.memo[w] = np.array([w] if isinstance(w, int) else ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        for w in new:
+            if isinstance(w, str) and len(w) > LONG:
+                del self.memo[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character, as in the library."""
