@@ -3,8 +3,8 @@
 1. Lexemes (words, word beginnings, word endings) are counted in labelled texts outside the held-out fold; those that go
    with toxic texts become lexicons and patterns. Together with a short general list they form many voters.
 2. A generative label model is fitted to all votes by expectation-maximisation: each voter has an accuracy, and so has
-   the given label, which is one voter among them. Correlations between lexemes given the class are
-   estimated first; lexemes that move together (a word, its beginning, its ending) are one voter with one vote.
+   the given label, which is one voter among them. Correlations between lexemes given the class are parameters too;
+   lexemes that move together (a word, its beginning, its ending) weigh like one voter.
 3. A linear classifier on the presence of lexemes is trained on the model's posterior labels and scores whole texts.
 
 Training takes at most `limit` labelled texts, by smallest hash of the id; at most `lexemes` lexemes are kept as features.
@@ -15,8 +15,6 @@ general list votes.
 
 import math
 import re
-from collections import Counter
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,42 +42,50 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def families(rows: list[list[int]], size: int, least: float = 0.7) -> np.ndarray:
-    """For each lexeme the number of its family: lexemes whose correlation over rows of lexeme ids is at least `least`."""
-    root = list(range(size))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    alone, both = Counter(x for r in rows for x in r), Counter(p for r in rows if len(r) <= 400 for p in combinations(r, 2))
-    for (i, j), n in sorted(both.items()):
-        if n / math.sqrt(alone[i] * alone[j]) >= least:
-            root[find(i)] = find(j)
-    return np.unique([find(i) for i in range(size)], return_inverse=True)[1] if size else np.zeros(0, np.int64)
-
-
 class LabelModel:
-    """Voters that vote toxic (1), clean (-1) or abstain (0), each with an accuracy of its votes.
+    """Voters that vote toxic (1), clean (-1) or abstain, with the accuracy of each and the correlations between them.
 
-    fired: for each text the families that vote toxic. A text where none fires gets a clean vote from one more voter, and
-    the given label is the vote of another. Accuracies are the voters' expected agreement with the hidden class.
+    rows: for each text the lexemes that vote toxic. A text where none votes gets a clean vote from one more voter, and the
+    given label is the vote of another. Expectation-maximisation: the hidden class follows from the votes' log odds, a voter's
+    accuracy is its expected agreement with the class, and the correlation of two lexemes is that of their votes given the
+    class, the larger one of the two classes'. A lexeme's log odds are divided by its redundancy, one and its
+    correlations with others as far as they are at least `least`: k lexemes that move together weigh like one.
     """
 
-    def __init__(self, fired: list[set[int]], label: np.ndarray, families: int, prior: float, rounds: int = 25):
-        n = len(fired)
-        at = np.concatenate([np.repeat(np.arange(n), [max(1, len(f)) for f in fired]), np.arange(n)]).astype(np.int64)
-        who = np.concatenate([[x for f in fired for x in sorted(f) or [families]], np.full(n, families + 1)]).astype(np.int64)
-        vote = np.concatenate([np.repeat([1.0 if f else -1.0 for f in fired], [max(1, len(f)) for f in fired]), np.where(label > 0, 1.0, -1.0)])
-        self.accuracy = np.full(families + 2, 0.85)
-        for _ in range(rounds):
-            z = math.log(prior / (1 - prior)) + np.bincount(at, vote * np.log(self.accuracy / (1 - self.accuracy))[who], n)
-            post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            right = np.where(vote > 0, post[at], 1 - post[at])
-            self.accuracy = np.clip((np.bincount(who, right, families + 2) + 3.4) / (np.bincount(who, minlength=families + 2) + 4), 0.05, 0.995)
-        self.posterior = post
+    def __init__(self, rows: list[list[int]], label: np.ndarray, size: int, prior: float, rounds: int = 25, least: float = 0.3):
+        n = len(rows)
+        at = np.concatenate([np.repeat(np.arange(n), [max(1, len(r)) for r in rows]), np.arange(n)]).astype(np.int64)
+        who = np.concatenate([[x for r in rows for x in r or [size]], np.full(n, size + 1)]).astype(np.int64)
+        vote = np.concatenate([np.repeat([1.0 if r else -1.0 for r in rows], [max(1, len(r)) for r in rows]), np.where(label > 0, 1.0, -1.0)])
+        self.rows, self.size, self.least = rows, size, least
+        self.accuracy, self.redundancy = np.full(size + 2, 0.85), np.ones(size + 2)
+        votes = np.bincount(who, minlength=size + 2)
+        self.posterior = np.where(label > 0, 1 - prior, prior).astype(float)
+        for i in range(rounds):
+            if i % 10 == 0:
+                self.redundancy[:size] = self.redundant()
+            z = math.log(prior / (1 - prior)) + np.bincount(at, vote * (np.log(self.accuracy / (1 - self.accuracy)) / self.redundancy)[who], n)
+            self.posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            right = np.where(vote > 0, self.posterior[at], 1 - self.posterior[at])
+            self.accuracy = np.clip((np.bincount(who, right, size + 2) + 3.4) / (votes + 4), 0.05, 0.995)
+
+    def redundant(self) -> np.ndarray:
+        """1 + the sum of a lexeme's correlations with others given the class, as far as they are at least `least`."""
+        found = np.zeros((self.size, self.size), np.float32)
+        some = [k for k, r in enumerate(self.rows) if r]
+        for weight in (self.posterior, 1 - self.posterior):
+            both = np.zeros_like(found)
+            for s in range(0, len(some), 512):  # all texts take part, a few at a time
+                x = np.zeros((len(some[s : s + 512]), self.size), np.float32)
+                for i, k in enumerate(some[s : s + 512]):
+                    x[i, self.rows[k]] = 1
+                both += (x * weight[some[s : s + 512], None].astype(np.float32)).T @ x
+            total = max(float(weight.sum()), 1e-9)
+            p = np.diag(both) / total
+            scale = np.sqrt(np.maximum(p * (1 - p), 1e-9))
+            np.maximum(found, (both / np.float32(total) - p[:, None] * p[None, :]) / scale[:, None] / scale[None, :], out=found)
+        np.fill_diagonal(found, 0)
+        return 1 + np.where(found >= self.least, found, 0).sum(1)
 
 
 def linear(rows: list[list[int]], soft: np.ndarray, size: int, l2: float = 0.002, rounds: int = 300, rate: float = 1.0) -> np.ndarray:
@@ -156,7 +162,7 @@ def chosen(docs: DataFrame, rate: float, limit_features: int) -> list[tuple[str,
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000, limit_features: int = 6_000) -> Toxicity:
-    sample = labelled_sample(docs, labels, "toxic", limit)
+    sample = kept(labelled_sample(docs, labels, "toxic", limit), "sample")
     share = sample.agg(F.avg((F.col("label") > 0).cast("int"))).first()[0]
     found = chosen(sample, share or 0.1, limit_features)
     names = list(dict.fromkeys([f for f, _, _ in found] + list(GENERAL)))
@@ -164,11 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 12_000, limit_feature
     held = sample.sparkSession.sparkContext.broadcast(number)
     fields = T.StructType([T.StructField("x", T.ArrayType(T.LongType()))])
     hits = per_text(lambda: lambda texts: [(sorted({held.value[f] for w in words_of(t) for f in lexemes(w) if f in held.value}),) for t in texts], fields)
-    rows = sample.select("doc_id", "label", hits("text")["x"].alias("x")).limit(4 * limit).collect()
+    rows = sample.select("doc_id", "label", hits("text")["x"].alias("x")).collect()  # limit rows at most
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    family = families([r[2] for r in rows], len(names))
     prior = float(np.clip(share or 0.05, 0.01, 0.5))
-    model = LabelModel([{int(family[i]) for i in r[2]} for r in rows], np.array([r[1] for r in rows]), int(family.max(initial=-1)) + 1, prior)
+    model = LabelModel([r[2] for r in rows], np.array([r[1] for r in rows]), len(names), prior)
     w = linear([r[2] for r in rows], model.posterior, len(names)) if rows else np.append(np.full(len(names), 6.0), -4.0)
     if rows:
         z = np.array([w[-1] + sum(w[i] for i in r[2]) for r in rows])
