@@ -80,10 +80,16 @@ class Tile:
         keep = np.concatenate(keep) if keep else np.zeros(0, bool)
         return i[keep], j[keep]
 
-    def prepared(self, unit: np.ndarray, keys: np.ndarray) -> dict:
+    def coded(self, unit: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """What is stored of each vector: its packed code and its correction factor."""
         rotated = (unit @ self.turn.T).astype(np.float32)
-        code = np.where(rotated >= 0, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(self.dim))
-        return {"unit": unit, "rotated": rotated, "code": code, "factor": np.maximum((rotated * code).sum(1), 1e-6), "keys": keys}
+        factor = np.abs(rotated).sum(1) / np.float32(math.sqrt(self.dim))  # the code has the signs of the components
+        return [x.tobytes() for x in np.packbits(rotated >= 0, axis=1)], np.maximum(factor, 1e-6).astype(np.float32)
+
+    def prepared(self, unit: np.ndarray, keys: np.ndarray, codes: list[bytes], factor: np.ndarray) -> dict:
+        bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1), axis=1, count=self.dim)
+        code = (2 * bits.astype(np.float32) - 1) / np.float32(math.sqrt(self.dim))
+        return {"unit": unit, "rotated": (unit @ self.turn.T).astype(np.float32), "code": code, "factor": factor.astype(np.float32), "keys": keys}
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -143,22 +149,23 @@ def tile_links(rows: DataFrame, plans: dict[int, tuple[int, int]], threshold: fl
     held = sc.broadcast(plans)
 
     def keyed(batches):
-        last, turned = None, None
+        last, turned, own_tile = None, None, None
         for pdf in batches:
             for dim, own in pdf.groupby("d", sort=True):
                 if dim not in held.value:
                     continue
                 tables, bits = held.value[dim]
                 if dim != last:  # rows come by length
-                    last, turned = dim, planes(dim, tables, bits, seed)
+                    last, turned, own_tile = dim, planes(dim, tables, bits, seed), Tile(dim, threshold, eps, seed)
                 x = np.stack(own["e"].to_numpy())
                 x = x / np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 k = keys_of(x, turned, tables, bits)
-                yield pd.DataFrame({"d": own["d"], "rid": own["rid"], "copies": own["copies"], "unit": list(x), "keys": list(k)})
+                code, factor = own_tile.coded(x)
+                yield pd.DataFrame({"d": own["d"], "rid": own["rid"], "copies": own["copies"], "unit": list(x), "keys": list(k), "code": code, "factor": factor})
 
     sized = rows.select(F.size("e").alias("d"), "rid", "copies", "e").sortWithinPartitions("d")
-    coded = kept(sized.mapInPandas(keyed, "d int, rid long, copies long, unit array<double>, keys array<long>"), "coded")
+    coded = kept(sized.mapInPandas(keyed, "d int, rid long, copies long, unit array<double>, keys array<long>, code binary, factor float"), "coded")
     placed = coded.select("*", F.posexplode("keys").alias("t", "key"))
     # Buckets of more than a tile are rare; their list is at most tables * vectors / tile long.
     large = kept(placed.groupBy("d", "t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "large")
@@ -170,7 +177,7 @@ def tile_links(rows: DataFrame, plans: dict[int, tuple[int, int]], threshold: fl
     placed = placed.withColumn("part", part)
     # A part meets every part of its bucket once: as the first of a pair of parts, or as the second.
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("a"), F.greatest(F.col("part"), o).alias("b")))
-    spread = placed.select("rid", "copies", "unit", "keys", "d", "t", "key", "part", F.explode(met).alias("m")).select("*", "m.a", "m.b").drop("m")
+    spread = placed.select("rid", "copies", "unit", "keys", "code", "factor", "d", "t", "key", "part", F.explode(met).alias("m")).select("*", "m.a", "m.b").drop("m")
 
     def links(batches):
         work = None
@@ -185,7 +192,7 @@ def tile_links(rows: DataFrame, plans: dict[int, tuple[int, int]], threshold: fl
                 work = Tile(dim, threshold, eps, seed)
             table, a, b = int(pdf["t"].iloc[0]), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
             rid, copies, part = pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
-            all_ = work.prepared(np.stack(pdf["unit"].to_numpy()), np.stack(pdf["keys"].to_numpy()))
+            all_ = work.prepared(np.stack(pdf["unit"].to_numpy()), np.stack(pdf["keys"].to_numpy()), pdf["code"].tolist(), pdf["factor"].to_numpy())
             pick = lambda at: {k: v[at] for k, v in all_.items()}
             if a == b:
                 i, j = work.compare(all_, all_, table, True)
