@@ -278,6 +278,35 @@ def test_urls(spark):
     assert urlfilter.judged(df.limit(0)).count() == 0
 
 
+def test_url_model_matches_plain_gradient_steps(spark):
+    rows = sorted((r.o, r.label, sorted(r.x)) for r in urlfilter.labelled(spark).limit(12).unionByName(spark.createDataFrame([(None, 1), ("no scheme", 0)], "url string, label int")).filter("url is not null").select(
+        F.xxhash64("url").alias("o"), "label", urlfilter.buckets(urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url")), 64).alias("x")
+    ).collect())
+    examples = urlfilter.labelled(spark).limit(12).unionByName(spark.createDataFrame([(None, 1), ("no scheme", 0)], "url string, label int"))
+    got = urlfilter.train(examples, 64, 3)
+    w = [0.0] * 65
+    for _ in range(3):
+        for _, y, x in rows:
+            g = (y - 1 / (1 + np.exp(-(w[64] + sum(w[b] for b in x))))) * 0.15
+            w = [v * (1 - 0.15e-3) + (g if i in x or i == 64 else 0) for i, v in enumerate(w)]
+    assert np.allclose(got, w)
+    z = spark.range(1).select(urlfilter.probability(F.lit("casino.example.org"), F.lit("/play"), got).alias("p"), urlfilter.buckets(F.lit("casino.example.org"), F.lit("/play"), 64).alias("x")).first()
+    assert np.isclose(z.p, 1 / (1 + np.exp(-(w[64] + sum(w[b] for b in z.x)))))
+
+
+def test_url_model_on_other_urls(spark):
+    blocked = ["http://online-casino.example.org/bonus", "https://pills-shop.example.net/cheap/order", "http://crack-download.example.org/keygen"]
+    allowed = ["http://books.example.org/en/history", "https://city-museum.example.net/exhibits", "http://news.example.org/de/post/7"]
+    df = spark.createDataFrame(list(enumerate(blocked + allowed)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judged(df, rules=()).collect()}
+    assert [got[i] for i in range(6)] == ["block"] * 3 + ["allow"] * 3
+
+
+def test_of_equal_rules_the_first_wins(spark):
+    rule = urlfilter.rule_of(F.lit("a.example.org"), F.lit("/x"), (("block", "example.org", "/"), ("allow", "example.org", "/"), ("allow", "org", "/")))
+    assert spark.range(1).select(rule.alias("r")).first().r.verdict == "block"
+
+
 # Embeddings
 
 

@@ -160,6 +160,61 @@ def test_letters_of_long_runs_count():
     assert field([en.replace(" ", "") * 20_000])[0][0] == "en"
 
 
+def test_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ", None), (2, "12 ①", None), (3, "the house ½", None), *((10 + i, "the house is with the other", "en") for i in range(20))], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(docs).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
+
+
+def test_label_model_matches_plain_expectation_maximisation():
+    rng = random.Random(4)
+    label = np.array([int(rng.random() < 0.3) for _ in range(60)])
+    rows = [sorted({v for v in range(6) if rng.random() < (0.5 if y else 0.05)} | ({4, 5} if y and rng.random() < 0.6 else set())) for y in label]
+    size, prior = 6, 0.3
+    got = toxicity.LabelModel(rows, label, size, prior)
+    accuracy, redundancy = [0.85] * 8, [1.0] * 8
+    post = [1 - prior if y else prior for y in label]
+    votes = [[(v, 1) for v in r] or [(6, -1)] for r in rows]
+    votes = [v + [(7, 1 if y else -1)] for v, y in zip(votes, label, strict=True)]
+    for k in range(25):
+        if k % 10 == 0:
+            for i in range(size):
+                redundancy[i] = 1.0
+                for j in range(size):
+                    best = 0.0
+                    for w in (post, [1 - x for x in post]):
+                        t = sum(w)
+                        pi, pj, pij = (sum(x for x, r in zip(w, rows, strict=True) if has <= set(r)) / t for has in ({i}, {j}, {i, j}))
+                        best = max(best, (pij - pi * pj) / np.sqrt(max(pi * (1 - pi), 1e-9) * max(pj * (1 - pj), 1e-9)))
+                    redundancy[i] += best if i != j and best >= 0.3 else 0
+        z = [np.log(prior / (1 - prior)) + sum(s * np.log(accuracy[v] / (1 - accuracy[v])) / redundancy[v] for v, s in vs) for vs in votes]
+        post = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in z]
+        for v in range(8):
+            right = [p if s > 0 else 1 - p for p, vs in zip(post, votes, strict=True) for u, s in vs if u == v]
+            accuracy[v] = min(max((sum(right) + 3.4) / (len(right) + 4), 0.05), 0.995)
+    assert np.allclose(got.posterior, post, atol=1e-4) and np.allclose(got.accuracy, accuracy, atol=1e-4) and np.allclose(got.redundancy, redundancy, atol=1e-3)
+    assert got.redundancy[4] > 1.3 and got.redundancy[5] > 1.3
+
+
+def test_all_lexemes_of_long_texts_count_in_correlations():
+    rows = [list(range(500))] * 6 + [[0], [1], []] * 6
+    model = toxicity.LabelModel(rows, np.array([1] * 6 + [0] * 18), 500, 0.3)
+    assert model.redundancy[2:500].min() > 400
+
+
+def test_long_pretokens(vocabulary, library, monkeypatch):
+    rng = random.Random(11)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    want = library.encode(word, add_special_tokens=False).ids
+    monkeypatch.setattr(tokencount, "STATES", 3000)
+    monkeypatch.setattr(tokencount, "FITS", 3000)
+    counts, codec = tokencount.TokenCounts(vocabulary), bpe.Codec(vocabulary)
+    assert counts([word])[0][1] == len(want)
+    assert len(counts.counter.of) <= 3002 and len(counts.counter.fits) <= 3000 and len(counts.counter.known) == len(counts.counter.of)
+    assert np.frombuffer(codec.encode([word, "a " + word[:300], "some words"])[0], "<u4").tolist() == want
+    assert max(map(len, codec.memo)) <= bpe.LONG
+
+
 def test_forest_walk_matches_plain_walk():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(800, 5))
