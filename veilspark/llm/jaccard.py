@@ -126,7 +126,8 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequency level of each counter: four times the binary logarithm of its number of shingles, at most 127; and the counters.
+    """Frequency level of each counter: four times the binary logarithm of its number of shingles, at most 127; and the number
+    of shingles of each level. The counters themselves stay with the workers.
 
     A counter for every 24 characters, about four shingles, within the bounds on their number.
     """
@@ -163,18 +164,26 @@ def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 sums.setdefault(int(c), np.zeros(step, np.int64)).__iadd__(unpacked(raw))
         yield pd.DataFrame({"chunk": list(sums), "counts": [packed(x) for x in sums.values()]})
 
+    def rated(batches):
+        for pdf in merge(batches):
+            for c, raw in zip(pdf["chunk"], pdf["counts"], strict=True):
+                n = unpacked(raw)
+                level = np.minimum(127, np.floor(4 * np.log2(np.maximum(1, n)))).astype(np.uint8)
+                mass = np.bincount(level, n, 128).astype(np.int64)
+                yield pd.DataFrame({"chunk": [c], "levels": [zlib.compress(level.tobytes(), 1)], "mass": [mass.tobytes()]})
+
     parts = docs.select("text").mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 8)
     once = parts.repartition(CHUNKS * 8, "chunk", "part").select("chunk", "counts").mapInPandas(merge, schema)
-    rows = once.repartition(CHUNKS, "chunk").mapInPandas(merge, schema).collect()  # CHUNKS rows, 2 ** bits counters in all
-    total = np.zeros(1 << bits, np.int64)
-    for r in rows:
-        total[r["chunk"] * step : (r["chunk"] + 1) * step] += unpacked(bytes(r["counts"]))
-    return np.minimum(127, np.floor(4 * np.log2(np.maximum(1, total)))).astype(np.uint8), total
+    rows = once.repartition(CHUNKS, "chunk").mapInPandas(rated, "chunk int, levels binary, mass binary")
+    levels, mass = np.zeros(1 << bits, np.uint8), np.zeros(128, np.int64)
+    for r in rows.collect():  # CHUNKS rows, 2 ** bits levels of a byte in all
+        levels[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+        mass += np.frombuffer(r["mass"], np.int64)
+    return levels, mass
 
 
-def cuts(levels: np.ndarray, total: np.ndarray, fragments: int) -> np.ndarray:
-    """Ids at which fragments after the first begin, so that each holds about as many shingles."""
-    mass = np.bincount(levels, total, 128)
+def cuts(mass: np.ndarray, fragments: int) -> np.ndarray:
+    """Ids at which fragments after the first begin, so that each holds about as many shingles. mass: shingles of each level."""
     upto = np.concatenate([[0], np.cumsum(mass)])
     out = []
     for q in range(1, fragments):
@@ -378,8 +387,8 @@ class Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int, hot: int = HOT_LEVEL, tile: int = TILE):
         self.docs, self.width, self.percent, self.hot, self.tile = doc_texts(docs), width, percent, hot, tile
-        levels, total = sketch(self.docs, width)
-        self.cuts = cuts(levels, total, FRAGMENTS)
+        levels, mass = sketch(self.docs, width)
+        self.cuts = cuts(mass, FRAGMENTS)
         self.ready: DataFrame | None = None
         self.parts: DataFrame | None = None
         self.maps: DataFrame | None = None
