@@ -14,10 +14,11 @@ their overlap. Equal sets are one set.
 1. The sets of each shared shingle are compared with one hub, the first in one fixed order of all sets, so that the
    shingles of a group agree on the hub. Shingles with many sets are dealt out into sublists with hubs of their own, which
    are then compared with the hub of the sublists. A group of k sets gives about k pairs, not k * k.
-2. Shingles whose sets are in more than one component stay open; of those with the same sets one stays. Their sets are
-   compared in tiles by bitmaps that bound the overlap from above. Of the pairs between components that the bound leaves,
-   the most alike that span a tile's components are verified, then, once components have grown, all that are left.
-   Pairs leave a tile only as far as they can still join components.
+2. Shingles whose sets are in more than one component stay open. Their sets are compared in tiles: first by sizes and
+   positions, after which sets without a partner leave, then, for one of the shingles with the same sets, by bitmaps that
+   bound the overlap from above. Of the pairs between components that the bound leaves, the most alike that span a tile's
+   components are verified, then, once components have grown, all that are left. Pairs leave a tile only as far as they
+   can still join components.
 
 Vertical partitioning: the global order is cut into FRAGMENTS ranges of equal mass; each set in a pair is cut into the same
 fragments; each pair's overlap is counted in each fragment on its own and summed per pair. Only these sums make links.
@@ -367,17 +368,46 @@ def tile_pairs(percent: int, every: bool):
         return pd.DataFrame({"rid": rid[i], "n": n[i], "h": rid[j], "hn": n[j]})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            code = pdf[["token", "a", "b"]].to_numpy()
-            edges = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist()]
+        for pdf, edges in whole_tiles(batches):
             for x, y in zip(edges, edges[1:], strict=False):
                 if (out := compare(pdf.iloc[x:y])) is not None:
                     yield out
-            rest = pdf.iloc[edges[-1] :]
-        if rest is not None and len(rest) and (out := compare(rest)) is not None:
-            yield out
+
+    return work
+
+
+def whole_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Rows of tiles that are complete, with the places where a tile begins and the last one ends."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        code = pdf[["token", "a", "b"]].to_numpy()
+        edges = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist()]
+        if len(edges) > 1:
+            yield pdf.iloc[: edges[-1]], edges
+        rest = pdf.iloc[edges[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, [0, len(rest)]
+
+
+def with_partners(percent: int):
+    """A function from rows (token, a, b, part, rid, n, pos, c), tile after tile, to those (token, rid, n, c) that have a partner
+    in another component to which sizes and positions leave room for a link."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, edges in whole_tiles(batches):
+            a, b, part, n, pos, c = (pdf[k].to_numpy(np.int64) for k in ("a", "b", "part", "n", "pos", "c"))
+            end = np.repeat(edges[1:], np.diff(edges))
+            found, k = np.zeros(len(pdf), bool), 1
+            i = np.flatnonzero(np.arange(len(pdf)) + 1 < end)
+            while len(i):  # all pairs of rows k apart, in all tiles at once
+                j = i + k
+                room = np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (c[i] != c[j]) & linked(n[i], n[j], room, percent) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((a[i] == b[i]) | (part[i] != part[j]))
+                found[i[ok]] = found[j[ok]] = True
+                k += 1
+                i = i[i + k < end[i]]
+            yield pdf.loc[found, ["token", "rid", "n", "c"]]
 
     return work
 
@@ -513,22 +543,28 @@ class Join:
 
     def tiles(self, tokens: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
         """Rows (rid, n, h, hn) of sets in different components that share an open shingle and may link."""
-        own = tokens.filter(F.col("kind") == SHARED).select("token", "rid", "n")
-        own = own.join(groups, own["rid"] == groups["node"], "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("c"))
+        own = tokens.filter(F.col("kind") == SHARED).select("token", "rid", "n", "pos")
+        own = own.join(groups, own["rid"] == groups["node"], "left").select("token", "rid", "n", "pos", F.coalesce("component", "rid").alias("c"))
         own = kept(own, "placed")
-        # Of open shingles with the same sets one stays: they are known by two hashes over all their sets.
-        lists = own.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
-        lists = lists.filter("lo < hi").groupBy("many", "x1", "x2").agg(F.min("token").alias("token"))
-        lists = kept(lists.select("token", F.ceil(F.col("many") / self.tile).cast("int").alias("parts")), "lists")
-        rows = own.join(lists, "token").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("parts")).cast("int"))
-        # A part meets every part of its list once: as the first of a pair of parts, or as the second.
-        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("a"), F.greatest(F.col("part"), o).alias("b")))
-        rows = kept(rows.select("token", "rid", "n", "c", "part", F.explode(met).alias("m")).select("token", "m.a", "m.b", "part", "rid", "n", "c"), "open")
+        lists = own.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).filter("lo < hi")
+        rows = self.tiled(own.join(kept(lists.select("token", "many"), "lists"), "token"), ["rid", "n", "pos", "c"])
+        own = kept(rows.mapInPandas(with_partners(self.percent), "token long, rid long, n long, c long").distinct(), "partners")
+        # Of shingles that are left with the same sets one stays: they are known by two hashes over all their sets.
+        lists = own.groupBy("token").agg(F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+        lists = lists.groupBy("many", "x1", "x2").agg(F.min("token").alias("token")).select("token", "many")
+        rows = kept(own.join(lists, "token"), "open")
         self.fragments(rows.select("rid").distinct())
-        rows = rows.join(self.maps, "rid")
+        return self.tiled(rows.join(self.maps, "rid"), ["rid", "n", "c", "bits"]).mapInPandas(tile_pairs(self.percent, every), "rid long, n long, h long, hn long")
+
+    def tiled(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """rows(token, many, columns) dealt out by tiles (token, a, b): a part of a list meets every part of it once, as the first
+        of a pair of parts or as the second."""
+        parts = F.ceil(F.col("many") / self.tile).cast("int")
+        rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("parts")).cast("int"))
+        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("a"), F.greatest(F.col("part"), o).alias("b")))
         keys = ["token", "a", "b"]
-        found = rows.select(*keys, "part", "rid", "n", "c", "bits").repartition(*keys).sortWithinPartitions(*keys)
-        return found.mapInPandas(tile_pairs(self.percent, every), "rid long, n long, h long, hn long")
+        rows = rows.select("token", "part", *columns, F.explode(met).alias("m")).select("token", "m.a", "m.b", "part", *columns)
+        return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def placed(join: Join) -> DataFrame:
