@@ -1,10 +1,14 @@
 """Mapping, redaction, leaks, evaluation."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from veilspark.operators import audit, evaluate, mapping, redact
 from veilspark.operators.blocks import from_documents, full_text
+from veilspark.operators.detect import ensemble
 from veilspark.operators.entities import detect, exploded, with_entities
+from veilspark.operators.resolve import finished
 from veilspark.plans import catalog
 
 DOCS = [
@@ -57,6 +61,39 @@ def test_replacement_that_is_an_original_moves(spark):
     assert not own & {r.replacement for r in mapping.build(both).collect()}
 
 
+def test_no_replacement_is_an_original_however_many_are_taken(spark):
+    schema = "doc_id long, block_index int, entity_type string, original_text string, start int, end int, confidence double, source string"
+    n = spark.range(400).withColumnRenamed("id", "number")
+    own = [r.v for k in ("IP_ADDRESS", "EMAIL_ADDRESS") for r in n.select(mapping.synthetic(k, F.col("number")).alias("v")).collect()]
+    rows = [(1, 0, "IP_ADDRESS" if v[0].isdigit() else "EMAIL_ADDRESS", v, 0, 1, 1.0, "regex") for i, v in enumerate(own) if i % 400 in (0, 1, 2, 3, 4, 6, 8, 12, 16, 300)]
+    got = mapping.build(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) == len({r.replacement for r in got})
+    assert not {r.norm_value for r in got} & {r.replacement.lower() for r in got}
+
+
+def test_repeated_and_null_ids_are_redacted_row_by_row(spark):
+    texts = ["ip 192.168.7.9 here", "mail a@x.org and b@x.org", "ip 192.168.7.9 here", "nothing"]
+    rows = [(1, t) for t in texts] + [(None, t) for t in texts]
+    tagged = with_entities(from_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+    m = mapping.build(exploded(tagged))
+    values = {r.norm_value: r.replacement for r in m.collect()}
+    want = []
+    for d, t in rows:
+        for v, r in values.items():
+            t = t.replace(v, r)
+        want.append((d or 0, t))
+    assert sorted((r.doc_id or 0, r.text) for r in redact.redacted(tagged, m).collect()) == sorted(want)
+
+
+def test_hints_cover_every_detector(spark):
+    cases = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] if os.path.isdir("/root/testdata/sf0.001") else []
+    cases += [t for _, t in DOCS] + ["Call 022-12345678", "SSN: 123-45-6789", "DOB: 12/03/1985", "1 2 3 4 5 6 7 8 9", "Registered Office at Plot No. 4, Baner Road, Pune 411 045, India", "(022)12345678"]
+    df = from_documents(spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string"))
+    plain = df.withColumn("entities", finished(ensemble(F.col("text"))))
+    key = lambda x: sorted(map(str, x.select("doc_id", "block_index", "entities").collect()))
+    assert key(plain) == key(with_entities(df))
+
+
 def test_redaction_leaves_no_value(spark):
     tagged = with_entities(from_documents(docs(spark)))
     found = exploded(tagged)

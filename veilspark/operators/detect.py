@@ -152,6 +152,13 @@ def context_detector(text: Column) -> Column:
     return F.concat(person(text), company(text), address(text), date_of_birth(text))
 
 
+def hinted(text: Column) -> Column:
+    """Whether any detector of the ensemble can find something: what its own hint asks for is a case of these."""
+    marks = F.contains(text, F.lit("@")) | text.rlike(r"(?U)\d{3}|\d[\s.-]\d|\)[\s-]?\d") | text.rlike("(?i)birth|dob")
+    words = text.rlike("Limited|Ltd|LLP|Inc|Corp|Industries|Enterprises|Technologies|Solutions|Services|Holdings")
+    return F.coalesce(marks | words | (F.contains(text, F.lit(":")) & X.contains_any(F.lower(text), P.ROLES)), F.lit(False))
+
+
 def ensemble(text: Column, before: Sequence[Detector] = (), between: Sequence[Detector] = ()) -> Column:
     """Candidates of all detectors: plug-ins `before`, patterns, plug-ins `between`, context rules.
 

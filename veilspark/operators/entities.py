@@ -7,14 +7,15 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.detect import Detector, ensemble
+from veilspark.operators.detect import Detector, ensemble, hinted, none
 from veilspark.operators.resolve import finished
 
 
 @lru_cache(maxsize=2)
 def standard(gateway: int) -> Column:
-    """The expression over `text` without plug-ins; it is large, so it is built once for each JVM."""
-    return finished(ensemble(F.col("text")))
+    """The expression over `text` without plug-ins; it is large, so it is built once for each JVM, and evaluated only for texts
+    with a hint."""
+    return F.when(hinted(F.col("text")), finished(ensemble(F.col("text")))).otherwise(none())
 
 
 def with_entities(blocks: DataFrame, before: Sequence[Detector] = (), between: Sequence[Detector] = ()) -> DataFrame:

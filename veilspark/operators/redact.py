@@ -30,13 +30,17 @@ def masked(tagged: DataFrame) -> DataFrame:
 
 
 def redacted(tagged: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Blocks with entities, with each entity's text replaced by its synthetic value.
+    """Blocks with entities, with each entity's text replaced by its synthetic value; all columns stay.
 
-    Only blocks that have entities take part in the join; the others pass.
+    Only blocks that have entities take part in the join; the others pass. A block travels with its entities and is put
+    together again by a number of its own, so repeated or null ids mix nothing up.
     """
-    edits = with_replacements(exploded(tagged), mapping).groupBy("doc_id", "block_index").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
-    clear = tagged.filter(F.size("entities") == 0).drop("entities")
-    rest = tagged.filter(F.size("entities") > 0).drop("entities").join(edits, ["doc_id", "block_index"])
+    columns = [c for c in tagged.columns if c != "entities"]
+    own = tagged.filter(F.size("entities") > 0).select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("block"), "entities")
+    own = own.select("row", "block", F.explode("entities").alias("e"))
+    edits = with_replacements(own.select("row", "block", "e.entity_type", "e.original_text", "e.start", "e.end"), mapping)
+    rest = edits.groupBy("row").agg(F.first("block").alias("block"), F.collect_list(F.struct("start", "end", "replacement")).alias("edits")).select("block.*", "edits")
+    clear = tagged.filter(F.coalesce(F.size("entities"), F.lit(0)) <= 0).drop("entities")
     return clear.unionByName(rest.withColumn("text", spliced(F.col("text"), F.col("edits"))).drop("edits"))
 
 

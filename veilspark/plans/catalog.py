@@ -437,10 +437,8 @@ def redact_mask(spark, sf_dir):
 
 @query(f"WITH {ENSEMBLE_SQL} SELECT doc_id, count(*) AS changed FROM (SELECT DISTINCT doc_id, block_index FROM entities) GROUP BY 1")
 def redact_synthetic(spark, sf_dir):
-    tagged = with_entities(doc_blocks(spark, sf_dir))
-    new = redact.redacted(tagged, doc_mapping(spark, sf_dir)).select("doc_id", "block_index", F.col("text").alias("new"))
-    old = tagged.select("doc_id", "block_index", "text")
-    return old.join(new, ["doc_id", "block_index"]).filter("text <> new").groupBy("doc_id").agg(F.count("*").alias("changed"))
+    tagged = with_entities(doc_blocks(spark, sf_dir)).withColumn("old", F.col("text"))
+    return redact.redacted(tagged, doc_mapping(spark, sf_dir)).filter("text <> old").groupBy("doc_id").agg(F.count("*").alias("changed"))
 
 
 @query(f"WITH {ENSEMBLE_SQL}, {MASKED_SQL}, whole AS (SELECT doc_id, lower(regexp_replace(string_agg(text, chr(10) ORDER BY block_index), '\\s+', ' ', 'g')) AS t FROM masked GROUP BY 1) "
