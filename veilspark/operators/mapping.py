@@ -140,9 +140,10 @@ def build(entities: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     clash = marked.filter("own is not null").join(total, "entity_type").select("entity_type", "norm_value", "number", "total")
     lanes = clash.withColumn("lane", F.explode(F.sequence(F.lit(1), F.lit(LANES))))
     lanes = lanes.withColumn("moved", nth(F.col("lane")))
-    free = lanes.join(taken, normalize(F.col("moved")) == taken["own"], "left_anti").groupBy("entity_type", "norm_value").agg(F.min_by("moved", "lane").alias("moved"))
+    seen = lanes.join(taken, normalize(F.col("moved")) == taken["own"], "left").groupBy("entity_type", "norm_value", "number", "total")
+    free = seen.agg(F.min_by("moved", F.when(F.col("own").isNull(), F.col("lane"))).alias("moved"))
     last = F.concat(nth(F.lit(LANES + 1)), F.lit(" "), F.md5(F.concat_ws("|", F.lit(seed), "entity_type", "norm_value")))
-    moved = clash.join(free, ["entity_type", "norm_value"], "left").select("entity_type", "norm_value", F.coalesce("moved", last).alias("replacement"))
+    moved = free.select("entity_type", "norm_value", F.coalesce("moved", last).alias("replacement"))
     return fine.unionByName(moved)
 
 
