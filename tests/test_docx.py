@@ -100,3 +100,10 @@ def test_redacted_copy(spark, folder):
     assert docx.structure(spark, f"{folder}/in").select("tables", "body_paragraphs").collect() == docx.structure(spark, f"{folder}/out").select("tables", "body_paragraphs").collect()
     raw = zipfile.ZipFile(folder / "out/REDACTED_a.docx")
     assert raw.read("word/media/x.bin") == b"\x00raw" and b"<w:b" in raw.read("word/document.xml")
+
+
+def test_first_existing(spark, folder):
+    have, gone = f"{folder}/in/a.docx", f"{folder}/in/gone.docx"
+    assert docx.first_existing(spark, [gone, have]) == have and docx.first_existing(spark, [have, gone]) == have
+    with pytest.raises(FileNotFoundError):
+        docx.files(spark, docx.first_existing(spark, [gone, gone]))

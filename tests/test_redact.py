@@ -1,10 +1,12 @@
 """Mapping, redaction, leaks, evaluation."""
 
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import audit, evaluate, mapping, redact
+from veilspark.operators import audit, evaluate, mapping, policy, redact
 from veilspark.operators.blocks import from_documents, full_text
 from veilspark.operators.detect import ensemble
 from veilspark.operators.entities import detect, exploded, with_entities
@@ -122,6 +124,40 @@ def test_find_and_global_pass(spark):
     assert got == {1: "Q and Asha Z and y", 2: "Asha"}
 
 
+def test_global_pass_forms(spark):
+    """Other separators between words and digits; a value of separators alone matches only itself."""
+    text = "ASHA -\u00a0example, 98765-43210, (98) 7654.3210, a_b, a b, ---, x"
+    blocks = spark.createDataFrame([(1, 0, text), (None, 0, text), (2, 0, None), (3, 0, "")], "doc_id long, block_index int, text string")
+    known = spark.createDataFrame([(d, a, b) for d in (1, 2, 3) for a, b in (("Asha Example", "X"), ("9876543210", "P"), ("a_b", "U"), ("---", "M$1"))], "doc_id long, original_text string, replacement string")
+    got = {r.doc_id: r.text for r in redact.global_pass(blocks, known).collect()}
+    assert got == {1: "X, P, (P, U, U, M$1, x", None: text, 2: None, 3: ""}
+
+
+def test_policies(spark):
+    leaks = spark.createDataFrame([(1, 0, 5, "SSN", "a"), (1, 0, 2, "PERSON", "b"), (2, 0, 0, "SSN", "c")], "doc_id long, block_index int, start int, entity_type string, original_text string")
+    with pytest.raises(policy.LeakFound, match="3 values .*first: .*PERSON. 'b'") as e:
+        policy.require_no_leaks(leaks, 1)
+    assert e.value.counts == {"PERSON": 1, "SSN": 2}
+    policy.require_no_leaks(leaks.limit(0))
+    shape = lambda rows: spark.createDataFrame(rows, "doc_id string, tables int, body_paragraphs int")
+    policy.require_same_structure(shape([("a", 1, 2)]), shape([("a", 1, 2)]))
+    for other in ([("a", 1, 3)], [("a", 0, 2)], [("a", 1, 2), ("b", 0, 0)], []):
+        with pytest.raises(policy.StructureChanged):
+            policy.require_same_structure(shape([("a", 1, 2)]), shape(other))
+
+
+def test_reports(spark):
+    blocks = from_documents(docs(spark))
+    found = detect(blocks)
+    rows = {r.doc_id: json.loads(r.result) for r in audit.result_json(found, blocks).collect()}
+    assert set(rows) == {r.doc_id for r in blocks.select("doc_id").distinct().collect()}
+    for r in rows.values():
+        assert r["total_detections"] == len(r["entities"]) and r["entities"] == sorted(r["entities"], key=lambda e: (e["block_index"], e["start"]))
+    assert sum(r["total_detections"] for r in rows.values()) == found.count()
+    text = audit.console(found, blocks)
+    assert f"Detections: {found.count()}" in text and "EMAIL_ADDRESS" in text and "SSN" not in text
+
+
 def test_leak_guard(spark):
     blocks = spark.createDataFrame([(1, 0, "12345 only"), (1, 1, "Asha"), (1, 2, "Example")], "doc_id long, block_index int, text string")
     found = spark.createDataFrame([(1, "PHONE_NUMBER", "12345"), (1, "PERSON", "asha  example")], "doc_id long, entity_type string, original_text string")
@@ -139,7 +175,12 @@ def test_metrics(spark):
     assert abs(means["micro"].precision - 2 / 3) < 1e-9 and abs(means["micro"].recall - 0.5) < 1e-9 and abs(means["macro"].recall - 1 / 3) < 1e-9
     one = spark.range(1).select(evaluate.precision(F.lit(0), F.lit(0), F.lit(0)), evaluate.recall(F.lit(0), F.lit(0), F.lit(0)), evaluate.f1(F.lit(1.0), F.lit(1.0))).first()
     assert tuple(one) == (1.0, 1.0, 1.0)
-    assert "| PERSON | 2 | 1 | 1 |" in evaluate.report(m)
+    text = evaluate.report(m, 5, 1234)
+    assert "| PERSON | 2 | 1 | 1 |" in text and "- Blocks: 1,234" in text and "- Precision, micro average: 66.67%" in text
+    none = evaluate.metrics(p([("SSN", "123-45-6789")]), evaluate.truth_or_samples(p([("SSN", "x")]), t([])))
+    assert {r.entity_type: (r.tp, r.fn) for r in none.collect()}["SSN"] == (1, 0)
+    assert evaluate.truth_or_samples(p([("SSN", "x")]), t([("SSN", "y")])).first().value == "y"
+    assert "## Metrics by type" in evaluate.report(evaluate.metrics(p([]), t([])))
 
 
 def test_audit(spark, tmp_path):

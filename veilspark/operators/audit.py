@@ -47,6 +47,25 @@ def summary_json(entities: DataFrame, blocks: DataFrame, name: str) -> DataFrame
     return rows.select(F.to_json(body).alias("summary"))
 
 
+def result_json(entities: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id and result, for each document with a block: JSON of filename, total_blocks, total_detections, entities in order."""
+    fields = ("entity_type", "original_text", "block_index", "start", "end", "confidence", "source")
+    listed = F.array_sort(F.collect_list(F.struct("block_index", "start", F.struct(*fields).alias("e"))))
+    by_doc = entities.groupBy("doc_id").agg(F.transform(listed, lambda x: x["e"]).alias("entities"))
+    rows = blocks.groupBy("doc_id").agg(F.count("*").alias("total_blocks")).join(by_doc, "doc_id", "left")
+    found = F.coalesce("entities", F.array().cast(by_doc.schema["entities"].dataType))
+    body = F.struct(F.col("doc_id").cast("string").alias("filename"), "total_blocks", F.size(found).alias("total_detections"), found.alias("entities"))
+    return rows.select("doc_id", F.to_json(body).alias("result"))
+
+
+def console(entities: DataFrame, blocks: DataFrame) -> str:
+    """A short report for a terminal: blocks, detections, distinct values and counts by type (nine rows reach the driver)."""
+    rows = [r for r in summary(entities).collect() if r["occurrences"]]
+    lines = [f"Text blocks: {blocks.count():,}", f"Detections: {sum(r['occurrences'] for r in rows):,}", f"Distinct values: {sum(r['unique_values'] for r in rows):,}"]
+    lines += [f"  {r['entity_type']:<18}{r['occurrences']:>12,}{r['unique_values']:>12,}" for r in sorted(rows, key=lambda r: r["entity_type"])]
+    return "\n".join(lines) + "\n"
+
+
 def audit_rows(entities: DataFrame) -> DataFrame:
     """The audit table: confidence with four decimals."""
     return entities.select("doc_id", "entity_type", "original_text", "block_index", "start", "end", F.format_string("%.4f", F.col("confidence")).alias("confidence"), "source")

@@ -6,6 +6,18 @@ from pyspark.sql import functions as F
 from veilspark.functions.text import normalize
 from veilspark.model import ENTITY_TYPES
 
+#: Truth where none is given: invented values, (type, value).
+SAMPLES = (
+    ("PERSON", "Asha Example"), ("EMAIL_ADDRESS", "info@sample-corp.example"), ("PHONE_NUMBER", "+91 98765 43210"), ("ORGANIZATION", "Sample Corp Private Limited"),
+    ("ADDRESS", "12 Sample Road, Pune - 411001, India"), ("DATE_OF_BIRTH", "1 May 1980"), ("SSN", "123-45-6789"), ("CREDIT_CARD", "4111 1111 1111 1111"), ("IP_ADDRESS", "192.0.2.1"),
+)
+
+
+def truth_or_samples(predicted: DataFrame, truth: DataFrame | None, samples: tuple = SAMPLES) -> DataFrame:
+    """truth, or, where it is none or empty, the samples."""
+    given = truth is not None and not truth.isEmpty()
+    return truth if given else predicted.sparkSession.createDataFrame(list(samples), "entity_type string, value string")
+
 
 def value_sets(predicted: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (entity_type, value); predictions of types that the truth lacks are left out, and so are empty values."""
@@ -56,11 +68,17 @@ def differences(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return tagged(have.intersect(want), "both").unionByName(tagged(have.subtract(want), "predicted")).unionByName(tagged(want.subtract(have), "truth"))
 
 
-def report(scores: DataFrame) -> str:
-    """A markdown table of the metrics (at most nine rows reach the driver) with the micro and macro averages."""
+def report(scores: DataFrame, detections: int | None = None, blocks: int | None = None) -> str:
+    """A markdown report: a summary, with the numbers of blocks and detections where they are given, and a table of the
+    metrics (at most nine rows reach the driver) with the micro and macro averages."""
     rows = scores.orderBy("entity_type").limit(len(ENTITY_TYPES)).collect()
     mean = {r["average"]: r for r in averages(scores).collect()}
-    lines = ["# Detection report", "", "| Type | TP | FP | FN | Precision | Recall | F1 |", "|-|-|-|-|-|-|-|"]
+    lines = ["# Detection report", "", "## Summary", ""]
+    lines += [f"- {name}: {n:,}" for name, n in (("Blocks", blocks), ("Detections", detections)) if n is not None]
+    if rows:
+        lines += [f"- {name}, {k} average: {mean[k][c]:.2%}" for k in ("micro", "macro") for name, c in (("Precision", "precision"), ("Recall", "recall"), ("F1", "f1_score"))]
+    lines += ["", "## Metrics by type", "", "| Type | TP | FP | FN | Precision | Recall | F1 |", "|-|-|-|-|-|-|-|"]
     lines += [f"| {r.entity_type} | {r.tp} | {r.fp} | {r.fn} | {r.precision:.2%} | {r.recall:.2%} | {r.f1_score:.2%} |" for r in rows]
-    lines += [f"| {k} average | | | | {m.precision:.2%} | {m.recall:.2%} | {m.f1_score:.2%} |" for k, m in sorted(mean.items())]
+    if rows:
+        lines += [f"| {k} average | | | | {m.precision:.2%} | {m.recall:.2%} | {m.f1_score:.2%} |" for k, m in sorted(mean.items())]
     return "\n".join(lines) + "\n"

@@ -48,13 +48,14 @@ def quoted(x: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def flexible_pattern(target: Column) -> Column:
-    """A pattern for a value with other white space, dashes or marks between its words, or between the digits of a phone."""
-    words = F.filter(F.split(strip(target), r"(?U)[\s \-_–—/]+"), lambda w: w != "")
-    by_word = F.array_join(F.transform(words, quoted), BETWEEN_WORDS)
+def any_form(target: Column) -> Column:
+    """A pattern for a value as it stands, with other white space, dashes or marks between its words, or, for ten digits or
+    more, with separators between its digits."""
+    words = F.filter(F.split(strip(target), r"(?U)[\s \-_–—/]+"), lambda w: w != "")
     number = digits(target)
-    by_digit = F.array_join(F.split(number, ""), BETWEEN_DIGITS)
-    return F.concat(F.lit("(?iUd)(?:"), by_word, F.when(F.length(number) >= 10, F.concat(F.lit("|"), by_digit)).otherwise(""), F.lit(")"))
+    by_word = F.when(F.size(words) > 0, F.concat(F.lit("|"), F.array_join(F.transform(words, quoted), BETWEEN_WORDS))).otherwise("")
+    by_digit = F.when(F.length(number) >= 10, F.concat(F.lit("|"), F.array_join(F.split(number, ""), BETWEEN_DIGITS))).otherwise("")
+    return F.concat(F.lit("(?:"), quoted(target), by_word, by_digit, F.lit(")"))
 
 
 def find(text: Column, target: Column) -> Column:
@@ -84,17 +85,18 @@ def find(text: Column, target: Column) -> Column:
 def global_pass(blocks: DataFrame, replaced: DataFrame, least: int = 3) -> DataFrame:
     """Blocks with every further occurrence of a document's own values replaced, longest first, in one pass.
 
-    replaced(doc_id, original_text, replacement): what was found and what stands for it. Values of fewer than `least`
+    replaced(doc_id, original_text, replacement): what was found and what stands for it. A value is found whatever its case,
+    with other separators between its words, and, with ten digits or more, between its digits. Values of fewer than `least`
     characters are left. Text that a replacement put in is not searched again.
     """
     values = replaced.filter(F.length(strip(F.col("original_text"))) >= least).groupBy("doc_id", "original_text").agg(F.max("replacement").alias("replacement"))
-    entry = F.struct((-F.length("original_text")).alias("size"), F.col("original_text").alias("value"), F.col("replacement").alias("to"))
+    entry = F.struct((-F.length("original_text")).alias("size"), F.col("original_text").alias("value"), F.col("replacement").alias("to"), any_form(F.col("original_text")).alias("form"))
     known = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("known"))
-    pattern = F.concat(F.lit("(?iUd)(?:"), F.array_join(F.transform("known", lambda k: quoted(k["value"])), "|"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iUd)(?:"), F.array_join(F.transform("known", lambda k: k["form"]), "|"), F.lit(")"))
     marked = F.regexp_replace(F.translate("text", SENTINEL, SUBSTITUTE), F.col("pattern"), F.lit(f"{SENTINEL}$0{SENTINEL}"))
 
     def put(s: Column, i: Column) -> Column:
-        own = F.filter("known", lambda k: F.lower(k["value"]) == F.lower(s))
+        own = F.filter("known", lambda k: F.regexp_like(s, F.concat(F.lit("(?iUd)^"), k["form"], F.lit("$"))))
         return F.when(i % 2 == 1, F.coalesce(F.get(F.transform(own, lambda k: k["to"]), F.lit(0)), s)).otherwise(s)
 
     rows = blocks.join(known.withColumn("pattern", pattern), "doc_id", "left")

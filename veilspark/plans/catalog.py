@@ -249,6 +249,13 @@ def summary_json(spark, sf_dir):
     return audit.summary_json(doc_entities(spark, sf_dir), doc_blocks(spark, sf_dir), "documents")
 
 
+@query(f"""WITH {ENSEMBLE_SQL}, n AS (SELECT doc_id, count(*) AS total FROM blocks GROUP BY 1),
+    e AS (SELECT doc_id, list({{'entity_type': entity_type, 'original_text': original_text, 'block_index': block_index, 'start': start, 'end': "end", 'confidence': 1.0::DOUBLE, 'source': 'regex'}} ORDER BY block_index, start) AS es FROM entities GROUP BY 1)
+    SELECT doc_id, to_json({{'filename': doc_id::VARCHAR, 'total_blocks': total, 'total_detections': coalesce(len(es), 0), 'entities': coalesce(es, [])}})::VARCHAR AS result FROM n LEFT JOIN e USING (doc_id)""")
+def result_json(spark, sf_dir):
+    return audit.result_json(doc_entities(spark, sf_dir), doc_blocks(spark, sf_dir))
+
+
 UNIQUES_SQL = "SELECT entity_type, norm_value AS normalized_value, count(*) AS occurrences FROM norms GROUP BY 1, 2"
 
 
@@ -410,9 +417,10 @@ def mapping_uniqueness(spark, sf_dir):
     return doc_mapping(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("originals"), F.count_distinct("replacement").alias("replacements"))
 
 
-@query(f"WITH {ENSEMBLE_SQL} SELECT DISTINCT entity_type, norm_value FROM norms WHERE entity_type = 'IP_ADDRESS' AND contains(norm_value, '1.')")
+@query(f"WITH {ENSEMBLE_SQL} SELECT DISTINCT entity_type, norm_value FROM norms WHERE entity_type = 'IP_ADDRESS' AND (contains(norm_value, '1.2') OR contains(reverse(norm_value), '1.2'))")
 def mapping_search(spark, sf_dir):
-    return mapping.search(doc_mapping(spark, sf_dir).withColumn("replacement", F.lit("")), "IP_ADDRESS", r"1\.").select("entity_type", "norm_value")
+    """Values with `1.2` in them or in what stands for them: here the value written backwards, so that SQL knows it too."""
+    return mapping.search(doc_mapping(spark, sf_dir).withColumn("replacement", F.reverse("norm_value")), "IP_ADDRESS", r"1\.2").select("entity_type", "norm_value")
 
 
 @query(f"WITH {ENSEMBLE_SQL}, raw AS (SELECT original_text AS raw_text, max_by(entity_type, (doc_id, block_index, start)) AS category FROM entities GROUP BY 1) SELECT * FROM raw UNION ALL SELECT 'nowhere', 'PII'")
@@ -441,13 +449,28 @@ def redact_synthetic(spark, sf_dir):
     return redact.redacted(tagged, doc_mapping(spark, sf_dir)).filter("text <> old").groupBy("doc_id").agg(F.count("*").alias("changed"))
 
 
-@query(f"WITH {ENSEMBLE_SQL}, {MASKED_SQL}, whole AS (SELECT doc_id, lower(regexp_replace(string_agg(text, chr(10) ORDER BY block_index), '\\s+', ' ', 'g')) AS t FROM masked GROUP BY 1) "
-       "SELECT n.doc_id, n.block_index, n.entity_type, n.original_text FROM norms n JOIN whole w USING (doc_id) WHERE n.entity_type <> 'PHONE_NUMBER' AND contains(w.t, n.norm_value)")
+def still_there_sql(texts: str) -> str:
+    """Rows of norms whose value is in the text of texts(doc_id, block_index, text): phones by ten digits or more, others in normal form."""
+    return rf"""(SELECT n.* FROM norms n JOIN (SELECT doc_id, lower(trim(regexp_replace(string_agg(text, chr(10) ORDER BY block_index), '\s+', ' ', 'g'))) AS t,
+        regexp_replace(string_agg(text, chr(10) ORDER BY block_index), '[^0-9]', '', 'g') AS d FROM {texts} GROUP BY 1) w USING (doc_id)
+        WHERE CASE WHEN n.entity_type = 'PHONE_NUMBER' THEN length(regexp_replace(n.original_text, '[^0-9]', '', 'g')) >= 10 AND contains(w.d, regexp_replace(n.original_text, '[^0-9]', '', 'g'))
+            ELSE contains(w.t, n.norm_value) END)"""
+
+
+@query(f"WITH {ENSEMBLE_SQL}, {MASKED_SQL} SELECT doc_id, block_index, entity_type, original_text FROM {still_there_sql('masked')}")
 def leak_check(spark, sf_dir):
     tagged = with_entities(doc_blocks(spark, sf_dir))
     return redact.leaked(exploded(tagged), redact.masked(tagged)).select("doc_id", "block_index", "entity_type", "original_text")
 
 
+@query(f"WITH {ENSEMBLE_SQL}, {MASKED_SQL}, planted AS (SELECT m.doc_id, m.block_index, CASE WHEN m.block_index % 3 = 1 THEN b.text ELSE m.text END AS text FROM masked m JOIN blocks b ON m.doc_id = b.doc_id AND m.block_index = b.block_index) SELECT doc_id, block_index, entity_type, original_text FROM {still_there_sql('planted')}")
+def leak_check_planted(spark, sf_dir):
+    """Every third block of the redacted text is the original one again: its values, wherever they were found, are leaks."""
+    tagged = with_entities(doc_blocks(spark, sf_dir))
+    back = redact.masked(tagged.withColumn("old", F.col("text"))).withColumn("text", F.when(F.col("block_index") % 3 == 1, F.col("old")).otherwise(F.col("text")))
+    return redact.leaked(exploded(tagged), back).select("doc_id", "block_index", "entity_type", "original_text")
+
+
 ORIGINAL_LEAKS_SQL = f"WITH {ENSEMBLE_SQL}, leaks AS (SELECT * FROM norms)"  # nothing is redacted: every value is still there
 
 
@@ -495,6 +518,17 @@ def global_pass(spark, sf_dir):
     return redact.global_pass(c.withColumn("text", text), values.select("doc_id", F.col("v.a").alias("original_text"), F.col("v.b").alias("replacement"))).select(F.col("doc_id").alias("k"), "text")
 
 
+FORMS = "'See ASHA -  example, call 98765-43210 or (98) 7654.3210; a_b and a b [' || c_custkey || '].'"
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'See X, call P or (P; U and U [' || c_custkey || '].' ELSE 'Nothing here.' END AS text FROM customer")
+def global_pass_forms(spark, sf_dir):
+    """Values that come again with other separators between words or digits."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"CASE WHEN c_custkey % 3 = 0 THEN {FORMS} ELSE 'Nothing here.' END AS text")
+    values = c.filter("doc_id % 3 = 0").select("doc_id", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("Asha Example", "X"), ("9876543210", "P"), ("a_b", "U"), ("--- ", "no"))))).alias("v"))
+    return redact.global_pass(c, values.select("doc_id", F.col("v.a").alias("original_text"), F.col("v.b").alias("replacement"))).select(F.col("doc_id").alias("k"), "text")
+
+
 # Evaluation: truth is every other distinct value, with values that are nowhere
 
 TRUTH_SQL = f"""{ENSEMBLE_SQL}, preds AS (SELECT DISTINCT entity_type, norm_value AS value FROM norms),
@@ -531,7 +565,7 @@ def set_ops_truth(spark, sf_dir):
 
 
 @query(f"""WITH {ENSEMBLE_SQL}, {MASKED_SQL} SELECT (SELECT count(*) FROM blocks) AS blocks, (SELECT count(*) FROM entities) AS detections, (SELECT count(DISTINCT original_text) FROM entities) AS raw_values,
-    (SELECT count(*) FROM norms n JOIN (SELECT doc_id, lower(regexp_replace(string_agg(text, chr(10) ORDER BY block_index), '\\s+', ' ', 'g')) AS t FROM masked GROUP BY 1) w USING (doc_id) WHERE n.entity_type <> 'PHONE_NUMBER' AND contains(w.t, n.norm_value)) AS leaked""")
+    (SELECT count(*) FROM {still_there_sql('masked')}) AS leaked""")
 def key_figures(spark, sf_dir):
     tagged = with_entities(doc_blocks(spark, sf_dir))
     found = exploded(tagged)

@@ -7,7 +7,7 @@ A file is parsed by one task, so block_index is a counter there. Traversal: body
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,6 +167,16 @@ def redacted_copy(raw: bytes, edits: dict[int, list[tuple[int, int, str]]]) -> b
     return package.saved()
 
 
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first of paths that is there, on any file system that Spark reads; the last if none is, for files() to report."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            return path
+    return paths[-1]
+
+
 def files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """path, length, content of the .docx files at path, whatever the case of the suffix; max_bytes leaves out larger ones.
 
