@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilspark.llm.bytebpe import LATER_SET, PATTERN, PATTERN_LATER, Vocabulary, load
-from veilspark.llm.common import doc_texts, per_text, pieces
+from veilspark.llm.common import doc_texts, lean, per_text, pieces
 
 #: Encoded pre-tokens that a worker remembers, and letters of a pre-token beyond which it is not remembered.
 MEMO, LONG = 1_000_000, 256
@@ -143,7 +143,7 @@ def encoded(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 at += len(texts)
             pa.default_memory_pool().release_unused()
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return doc_texts(docs).mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:

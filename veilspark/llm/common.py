@@ -1,5 +1,6 @@
 """What several operators share."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,24 @@ def pieces(texts: list, limit: int = PIECE_CHARS) -> Iterator[list]:
         yield run
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, a function of a task's batches, after which its worker gives freed memory back to the system.
+
+    Workers outlive their tasks and wait beside the executor while later stages run, with all that they have not given back.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in the GNU C library only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.StructType, piece: int = PIECE_CHARS) -> Callable[[Column], Column]:
     """A column function from text to a struct.
 
@@ -38,7 +57,7 @@ def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.Struct
     """
     arrow = pa.schema([pa.field(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}[f.dataType.simpleString()]) for f in fields])
 
-    def run(batches):
+    def each(batches):
         work = make()
         for batch in batches:
             rows = []
@@ -49,6 +68,7 @@ def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.Struct
             del rows, cols, batch
             pa.default_memory_pool().release_unused()
 
+    run = lean(each)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, fields)
 

@@ -40,9 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import doc_texts, free_name, per_text
+from veilspark.llm.common import doc_texts, free_name, lean, per_text
 from veilspark.llm.components import components
-from veilspark.llm.scratch import dropped, kept
+from veilspark.llm.scratch import batches_of, dropped, kept
 
 MIN_SKETCH_BITS, MAX_SKETCH_BITS, FRAGMENTS, CHUNKS = 16, 24, 4, 16
 #: Frequency level (four times a binary logarithm) above which a shingle's sets are dealt into sublists; sets of one tile.
@@ -173,11 +173,13 @@ def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 mass = np.bincount(level, n, 128).astype(np.int64)
                 yield pd.DataFrame({"chunk": [c], "levels": [zlib.compress(level.tobytes(), 1)], "mass": [mass.tobytes()]})
 
-    parts = docs.select("text").mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 8)
-    once = parts.repartition(CHUNKS * 8, "chunk", "part").select("chunk", "counts").mapInPandas(merge, schema)
-    rows = once.repartition(CHUNKS, "chunk").mapInPandas(rated, "chunk int, levels binary, mass binary")
+    parts = docs.select("text").mapInPandas(lean(count), schema).withColumn("part", F.spark_partition_id() % 8)
+    once = parts.repartition(CHUNKS * 8, "chunk", "part").select("chunk", "counts").mapInPandas(lean(merge), schema)
+    rows = once.repartition(CHUNKS, "chunk").mapInPandas(lean(rated), "chunk int, levels binary, mass binary")
     levels, mass = np.zeros(1 << bits, np.uint8), np.zeros(128, np.int64)
-    for r in rows.collect():  # CHUNKS rows, 2 ** bits levels of a byte in all
+    with batches_of(docs.sparkSession, 2000):
+        found = rows.collect()  # CHUNKS rows, 2 ** bits levels of a byte in all
+    for r in found:
         levels[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
         mass += np.frombuffer(r["mass"], np.int64)
     return levels, mass
@@ -451,8 +453,8 @@ class Join:
         """Rows of TOKENS: pairs with hubs, and the occurrences of prefix shingles that more than one set has."""
         spark = self.sets.sparkSession
         parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blobs = self.sets.select("rid", "n", "prefix").mapInPandas(dealt(parts, self.hot), "part int, token binary, rid binary, at binary")
-        return blobs.repartition("part").select("token", "rid", "at").mapInPandas(with_hubs(self.percent, self.hot), TOKENS)
+        blobs = self.sets.select("rid", "n", "prefix").mapInPandas(lean(dealt(parts, self.hot)), "part int, token binary, rid binary, at binary")
+        return blobs.repartition("part").select("token", "rid", "at").mapInPandas(lean(with_hubs(self.percent, self.hot)), TOKENS)
 
     def hub_pairs(self, tokens: DataFrame) -> DataFrame:
         """Rows (rid, n, h, hn): sets with the hub of a shingle they share, if sizes and positions leave room for a link."""
@@ -532,7 +534,7 @@ class Join:
         groups = kept(components(self.links(tried)), "components")
         for every in (False, True):
             near = self.pairs(self.tiles(tokens, groups, every))
-            near = kept(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            near = kept(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs", 2000)
             if near.isEmpty():
                 continue  # what spans is known; there may be more
             tried = tried.unionByName(near)
@@ -548,13 +550,13 @@ class Join:
         own = kept(own, "placed")
         lists = own.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many")).filter("lo < hi")
         rows = self.tiled(own.join(kept(lists.select("token", "many"), "lists"), "token"), ["rid", "n", "pos", "c"])
-        own = kept(rows.mapInPandas(with_partners(self.percent), "token long, rid long, n long, c long").distinct(), "partners")
+        own = kept(rows.mapInPandas(lean(with_partners(self.percent)), "token long, rid long, n long, c long").distinct(), "partners")
         # Of shingles that are left with the same sets one stays: they are known by two hashes over all their sets.
         lists = own.groupBy("token").agg(F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
         lists = lists.groupBy("many", "x1", "x2").agg(F.min("token").alias("token")).select("token", "many")
         rows = kept(own.join(lists, "token"), "open")
         self.fragments(rows.select("rid").distinct())
-        return self.tiled(rows.join(self.maps, "rid"), ["rid", "n", "c", "bits"]).mapInPandas(tile_pairs(self.percent, every), "rid long, n long, h long, hn long")
+        return self.tiled(rows.join(self.maps, "rid"), ["rid", "n", "c", "bits"]).mapInPandas(lean(tile_pairs(self.percent, every)), "rid long, n long, h long, hn long")
 
     def tiled(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         """rows(token, many, columns) dealt out by tiles (token, a, b): a part of a list meets every part of it once, as the first

@@ -7,6 +7,8 @@ A table that was written cuts lineage: after the loss of an executor it is read,
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,18 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Within it, Arrow batches hold at most so many rows; None leaves them as they are."""
+    before = spark.conf.get(BATCH)
+    try:
+        if rows:
+            spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def kept(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """df as written to the shared folder and read from it.
 
@@ -32,13 +46,8 @@ def kept(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    try:
-        if batch:
-            spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    with batches_of(spark, batch):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._veilspark_path = path
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import doc_texts, held_out, per_text
+from veilspark.llm.common import doc_texts, held_out, lean, per_text
 from veilspark.llm.quality import labelled_sample
 from veilspark.llm.scratch import kept
 
@@ -152,7 +152,7 @@ def chosen(docs: DataFrame, rate: float, limit_features: int) -> list[tuple[str,
                     n.setdefault(f, [0, 0])[0 if label > 0 else 1] += 1
             yield pd.DataFrame([(f, a, b) for f, (a, b) in n.items()], columns=["lexeme", "toxic", "clean"])
 
-    c = docs.select("text", "label").mapInPandas(count, schema).groupBy("lexeme").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    c = docs.select("text", "label").mapInPandas(lean(count), schema).groupBy("lexeme").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     c = kept(c.filter(F.col("toxic") + F.col("clean") >= 3), "lexemes")
     tests = max(1, c.count())
     # Of so many lexemes, fewer than one may go with toxic texts this well by chance.

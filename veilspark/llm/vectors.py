@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import lean
 from veilspark.llm.components import components
 from veilspark.llm.scratch import kept
 
@@ -165,7 +166,7 @@ def tile_links(rows: DataFrame, plans: dict[int, tuple[int, int]], threshold: fl
                 yield pd.DataFrame({"d": own["d"], "rid": own["rid"], "copies": own["copies"], "unit": list(x), "keys": list(k), "code": code, "factor": factor})
 
     sized = rows.select(F.size("e").alias("d"), "rid", "copies", "e").sortWithinPartitions("d")
-    coded = kept(sized.mapInPandas(keyed, "d int, rid long, copies long, unit array<double>, keys array<long>, code binary, factor float"), "coded")
+    coded = kept(sized.mapInPandas(lean(keyed), "d int, rid long, copies long, unit array<double>, keys array<long>, code binary, factor float"), "coded")
     placed = coded.select("*", F.posexplode("keys").alias("t", "key"))
     # Buckets of more than a tile are rare; their list is at most tables * vectors / tile long.
     large = kept(placed.groupBy("d", "t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "large")
@@ -235,4 +236,4 @@ def tile_links(rows: DataFrame, plans: dict[int, tuple[int, int]], threshold: fl
 
     keys = ["d", "t", "key", "a", "b"]
     dealt = spread.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(links, "u long, v long, more long")
+    return dealt.mapInPandas(lean(links), "u long, v long, more long")
