@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilspark.llm.bytebpe import LATER_SET, PATTERN, PATTERN_LATER, Vocabulary, load
-from veilspark.llm.common import doc_texts, lean, per_text, pieces
+from veilspark.llm.common import batch_pieces, doc_texts, lean, per_text
 
 #: Encoded pre-tokens that a worker remembers, and letters of a pre-token beyond which it is not remembered.
 MEMO, LONG = 1_000_000, 256
@@ -126,7 +126,7 @@ DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
 def encoded(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded: the real outputs of the codec for docs(doc_id, text).
 
-    Results are several times as large as their texts, so they leave the worker in batches of about two million characters.
+    Results are several times as large as their texts, so they leave the worker in batches of about half a million characters.
     """
     held = docs.sparkSession.sparkContext.broadcast(load(vocabulary_path))
 
@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         codec = Codec(held.value, 250_000)
         for batch in batches:
             at = 0
-            for texts in pieces(batch.column(1).to_pylist(), 2_000_000):
+            for texts in batch_pieces(batch.column(1), 500_000):
                 ids = codec.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array([np.frombuffer(e, "<i4") for e in ids], pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string())],

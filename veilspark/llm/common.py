@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts of one Arrow batch are handled in pieces of about so many characters.
-PIECE_CHARS = 8_000_000
+#: Texts of one Arrow batch are handled in pieces of about so many characters; rows of a batch that are Python texts at once.
+PIECE_CHARS, ROWS = 8_000_000, 1024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -31,6 +31,12 @@ def pieces(texts: list, limit: int = PIECE_CHARS) -> Iterator[list]:
         yield run
 
 
+def batch_pieces(column: pa.Array, limit: int = PIECE_CHARS) -> Iterator[list]:
+    """pieces() of a column of texts, of which only some rows are Python texts at once."""
+    for at in range(0, len(column), ROWS):
+        yield from pieces(column.slice(at, ROWS).to_pylist(), limit)
+
+
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """work, a function of a task's batches, after which its worker gives freed memory back to the system.
 
@@ -61,7 +67,7 @@ def per_text(make: Callable[[], Callable[[list], list[tuple]]], fields: T.Struct
         work = make()
         for batch in batches:
             rows = []
-            for run_ in pieces(batch.to_pylist(), piece):
+            for run_ in batch_pieces(batch, piece):
                 rows.extend(work(run_))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], fields=list(arrow))
