@@ -7,11 +7,12 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import AWKWARD
 from tokenizers import Tokenizer
 
-from veilspark.llm import bpe, bytebpe, langid, quality, tokencount, toxicity
+from veilspark.llm import bpe, bytebpe, common, langid, quality, tokencount, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.1"
@@ -114,6 +115,22 @@ def test_scores_ignore_labels_lang_source_and_ids(spark):
         assert all(rows[i] == rows[i + 1_000_000] for i in rows if i < 1_000_000)
 
 
+@pytest.mark.parametrize(("rows", "limit"), [(1, 1), (2, 3), (1024, 5), (1024, 8_000_000)])
+def test_pieces_of_a_batch_are_all_its_rows_in_order(monkeypatch, rows, limit):
+    monkeypatch.setattr(common, "ROWS", rows)
+    texts = ["a", None, "", "bcdefgh", "é", None, "x" * 9]
+    for own in (texts, []):
+        got = list(common.batch_pieces(pa.array(own, pa.string()), limit))
+        assert [t for run in got for t in run] == own and all(got)
+        assert all(len(run) <= rows and (len(run) == 1 or sum(len(t or "") for t in run) <= limit) for run in got)
+
+
+def test_lean_passes_batches_and_errors_on():
+    assert list(common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(lambda batches: (1 // b for b in batches))(iter([1, 0])))
+
+
 def test_forward_backward_matches_brute_force():
     rng = np.random.default_rng(0)
     sizes, k = np.array([1, 3, 64, 65, 128, 200, 129]), 3
