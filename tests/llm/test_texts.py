@@ -1,7 +1,9 @@
 """Operators on single texts: quality, language, tokens, BPE, toxicity."""
 
 import random
+import re
 import struct
+import time
 from hashlib import sha256
 from zlib import crc32
 
@@ -183,6 +185,22 @@ def test_signs_are_no_letters(spark):
     assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
 
 
+def test_words_cost_little_more_than_a_plain_search():
+    every = "".join(f"a{chr(i)}b " for i in range(0x110000))
+    assert langid.words_of(every) == langid.WORD.findall(every.lower())
+    text, plain = "Ein Wort, zwei Wörter, élan vital 12 " * 20_000, re.compile(r"[^\W\d_]+")
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: langid.words_of(text)) < 3 * least(lambda: plain.findall(text.lower()))
+
+
 def test_label_model_matches_plain_expectation_maximisation():
     rng = random.Random(4)
     label = np.array([int(rng.random() < 0.3) for _ in range(60)])

@@ -27,12 +27,20 @@ from veilspark.llm.common import doc_texts, held_out, per_text
 #: Signs that Python counts as word characters though they are neither letters nor decimal digits, such as fractions.
 SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
+#: Words and signs together: tested at each character, this short set costs an eighth of WORD's.
+RUN = re.compile(r"[^\W\d_]+")
 BITS, BLOCK = 15, 64
 #: Words whose emissions a worker remembers; letters of a word beyond which it is hashed on its own.
 MEMO, GRID = 300_000, 40
 MANY = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """What WORD finds in a text in lower case; only runs that hold a sign are searched by WORD itself."""
+    found = RUN.findall(text.lower())
+    return found if "".join(found).isalpha() else [w for run in found for w in ([run] if run.isalpha() else WORD.findall(run))]
+
+
 def hashed(n: int, kind: int, *letters: np.ndarray) -> np.ndarray:
     """n features of a kind from letters that stand side by side."""
     h = np.full(n, kind + 1, np.uint64) * MANY
@@ -213,7 +221,7 @@ class Field:
         """(language, share of expected words) of each text."""
         if len(self.memo) > MEMO:
             self.memo = {}
-        words = [WORD.findall(t.lower()) if t and self.labels else [] for t in texts]
+        words = [words_of(t) if t and self.labels else [] for t in texts]
         sizes = np.array([len(w) for w in words])
         keep = np.flatnonzero(sizes)
         out = [("und", 0.0)] * len(texts)
@@ -228,7 +236,7 @@ class Field:
 
     def word_labels(self, text: str) -> list[tuple[str, str, float]]:
         """(word, language, posterior) of each word of one text."""
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.labels:
             return []
         post, _, _ = posteriors(self.rows_of(words), np.array([len(words)]), self.trans, self.start)
@@ -248,7 +256,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 16, l2: float = 2e-4,
     known: dict[str, int] = {}
     seqs, golds, total = [], [], 0
     for t, g in zip(texts, langs, strict=True):
-        w = [known.setdefault(x, len(known)) for x in WORD.findall(t.lower())]
+        w = [known.setdefault(x, len(known)) for x in words_of(t)]
         if w and (total := total + len(w)) <= words_limit:
             seqs.append(w)
             golds.append([labels.index(g)] * len(w))
